@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, rangecoder, warc
+from . import bpe, exact_dedup, fingerprints, katz, langid, packing, rangecoder, secrets, warc
 from .common import table
 
 
@@ -15,6 +15,12 @@ def op1_mixing_range_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op2_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    return katz.score_documents(docs, F.when(fold == 1, 1).when(fold.isNull(), 2).otherwise(0))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.cut_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     digests = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "part", "nth")
@@ -25,6 +31,24 @@ def op5_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_roundtrip(table(spark, sf_dir, "pages"))
 
 
+def op6_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+def op7_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = langid.identify(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.coalesce(langid.fold() == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op8_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = secrets.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("found", lambda x: x.rank < sum(r.base for r in secrets.RULES))
+    count = lambda kind: F.size(F.filter("found", lambda x: x.kind == kind)).cast("long").alias(f"n_{kind}")
+    return rows.select(
+        "doc_id", *(count(r.kind) for r in secrets.RULES if r.base), F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("found")).alias("spans")
+    )
+
+
 def op9_chunk_recipe_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
