@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fingerprints, katz, langid, packing, rangecoder, secrets, warc
+from . import bpe, exact_dedup, fingerprints, katz, langid, ngram_join, packing, rangecoder, secrets, warc
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op2_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score_documents(docs, F.when(fold == 1, 1).when(fold.isNull(), 2).otherwise(0))
 
 
+def op3_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.cut_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     digests = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "part", "nth")
