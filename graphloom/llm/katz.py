@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import buckets_for, settle, text_batches, text_or_empty
 
-BATCH, BUCKET, SPLIT = 24 << 20, 24 << 20, 500_000
+BATCH, BUCKET, SPLIT = 20 << 20, 24 << 20, 500_000
 #: Counts up to K are discounted.
 K = 5
 END = "\n"  # no word holds white space
@@ -113,37 +113,47 @@ class Keys:
         return keys // self.size
 
 
-def _batch_grams(row: dict, keys: Keys):
-    """The batch's tokens, and of its bigrams of known words: token places, and by (bucket, key) sorted: place lists."""
+def _batch_grams(row: dict, keys: Keys, places: bool):
+    """The batch's distinct bigrams h, w of word places, how often they are learnt, and those of known words with bucket and key, sorted; at: the bigram of each token, if places are asked for."""
     codes = np.frombuffer(unpack(row["codes"]), "<u4")
     ids, c = (np.frombuffer(unpack(row[k]), "<u8") for k in ("ids", "word_counts"))
     sizes, roles = np.frombuffer(row["sizes"], "<u4").astype(np.int64), np.frombuffer(row["roles"], np.uint8)
-    before = np.empty_like(codes)
-    before[1:] = codes[:-1]
-    before[np.cumsum(sizes) - sizes] = 0  # the end, which the batch numbered first
-    pair, at = np.unique(before.astype(np.uint64) << np.uint64(32) | codes, return_inverse=True)
-    h, w = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    learn = np.repeat(roles == 0, sizes)
-    seen = np.bincount(at[learn], minlength=len(pair))
+    grams = np.zeros(len(codes), np.uint64)  # a document's first token follows the end, which the batch numbered first
+    grams[1:] = codes[:-1]
+    grams[np.cumsum(sizes) - sizes] = 0
+    grams <<= np.uint64(32)
+    grams |= codes
+    learnt, times = np.unique(grams[np.repeat(roles == 0, sizes)], return_counts=True)
+    pair, at = np.unique(grams, return_inverse=True) if places else (np.unique(grams), None)
+    del grams
+    h, w = (pair >> np.uint64(32)).astype(np.uint32), (pair & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    seen = np.zeros(len(pair), np.uint32)
+    seen[np.searchsorted(pair, learnt)] = times
+    del learnt, times, pair
     known = np.flatnonzero((c[h] > 0) & (c[w] > 0))
     bucket, key = keys.make(ids[h[known]], ids[w[known]], c[h[known]])
     order = np.lexsort((key, bucket))
     return codes, c, sizes, roles, at, h, w, seen, known[order], bucket[order], key[order]
 
 
-def _send(batches: Iterator[pa.RecordBatch], keys: Keys) -> Iterator[pa.RecordBatch]:
-    names = ["bucket", "batch", "n", "grams"]
+def _one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
-        for row in batch.to_pylist():
-            _, c, _, _, _, h, w, seen, known, bucket, key = _batch_grams(row, keys)
-            firsts = np.flatnonzero(np.diff(bucket.astype(np.int64), prepend=-1))
-            rows = []
-            for a, b in zip(firsts.tolist(), [*firsts[1:].tolist(), len(bucket)], strict=True):
-                own = known[a:b]
-                split = (c[h[own]] > keys.limit).astype(np.uint8)
-                rows.append((int(bucket[a]), row["batch"], b - a, pack(np.diff(key[a:b], prepend=np.uint64(0)), c[w[own]], seen[own].astype("<u4"), split)))
-            for i in range(0, len(rows), 64):
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[i : i + 64]], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=names)
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
+def _send(batches: Iterator[pa.RecordBatch], keys: Keys) -> Iterator[pa.RecordBatch]:
+    names, types = ["bucket", "batch", "n", "grams"], (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    for row in _one_by_one(batches):
+        _, c, _, _, _, h, w, seen, known, bucket, key = _batch_grams(row, keys, False)
+        firsts = np.flatnonzero(np.diff(bucket.astype(np.int64), prepend=-1))
+        rows = []
+        for a, b in zip(firsts.tolist(), [*firsts[1:].tolist(), len(bucket)], strict=True):
+            own = known[a:b]
+            split = (c[h[own]] > keys.limit).astype(np.uint8)
+            rows.append((int(bucket[a]), row["batch"], b - a, pack(np.diff(key[a:b], prepend=np.uint64(0)), c[w[own]], seen[own].astype("<u4"), split)))
+        for i in range(0, len(rows), 64):
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[i : i + 64]], t) for k, t in enumerate(types)], names=names)
 
 
 def _sum(frame: pd.DataFrame, keys: Keys, p1: Unigrams) -> pd.DataFrame:
@@ -208,7 +218,7 @@ def _score(coded: pd.DataFrame, back: pd.DataFrame, keys: Keys, model: Backoff,
     if not len(coded):
         return pd.DataFrame({k: [] for k in names})
     row = coded.iloc[0]
-    codes, c, sizes, roles, at, h, w, _, known, bucket, key = _batch_grams(row, keys)
+    codes, c, sizes, roles, at, h, w, _, known, bucket, key = _batch_grams(row, keys, True)
     ch = c.astype(np.int64)
     over, alpha = np.ones(len(c)), np.ones(len(c))  # of each word of the batch as a context
     total = np.zeros(len(h), np.int64)
@@ -276,7 +286,7 @@ def score_documents(docs: DataFrame, role, id_col: str = "doc_id", text_col: str
     back = words.join(vocab, "word").select(F.col("batch").alias("of"), "code", "id", "c")
     payload = "batch bigint, doc_ids array<bigint>, roles binary, sizes binary, codes binary"
     coded = settle(back.groupBy("of").cogroup(numbered.select("batch", "doc_ids", "roles", "sizes", "codes").groupBy("batch")).applyInPandas(number_globally, f"{payload}, ids binary, word_counts binary"), "coded")
-    sent = coded.mapInArrow(lambda it: _send(it, keys), "bucket bigint, batch bigint, n bigint, grams binary")
+    sent = coded.select("batch", "roles", "sizes", "codes", "ids", "word_counts").mapInArrow(lambda it: _send(it, keys), "bucket bigint, batch bigint, n bigint, grams binary")
     bigrams = settle(
         sent.groupBy("bucket").applyInPandas(lambda f: _sum(f, keys, p1).assign(bucket=f["bucket"].iloc[0]), "batch bigint, n bigint, data binary, ids array<bigint>, stats array<double>, bucket bigint"), "bigrams"
     )

@@ -121,7 +121,8 @@ def _runs(bucket: np.ndarray) -> list[tuple[int, int]]:
 def _send(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     names, types = ["bucket", "batch", "n", "data"], (pa.int64(), pa.int64(), pa.int64(), pa.binary())
     for batch in batches:
-        for row in batch.to_pylist():
+        for k in range(batch.num_rows):
+            row = batch.slice(k, 1).to_pylist()[0]
             *_, distinct, times, bucket = _batch_sets(row, buckets)
             rows = [(int(bucket[a]), row["batch"], b - a, pack(np.diff(distinct[a:b], prepend=_U(0)), times[a:b].astype("<u4"))) for a, b in _runs(bucket)]
             for i in range(0, len(rows), 64):
