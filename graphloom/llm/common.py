@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -38,7 +39,19 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there and executors may be lost afterwards."""
     path = fresh(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._settled = path
+    return out
+
+
+def release(spark: SparkSession, *settled: DataFrame) -> None:
+    """Delete settled tables that nothing reads any more, and let Spark's cleaner see that shuffles before them are done with."""
+    jvm = spark.sparkContext._jvm
+    for df in settled:
+        path = jvm.org.apache.hadoop.fs.Path(df._settled)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
 
 
 def text_or_empty(col: str = "text"):

@@ -29,9 +29,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_for, settle, text_batches, text_or_empty
+from .common import buckets_for, release, settle, text_batches, text_or_empty
 
-BATCH, BUCKET, SPLIT = 20 << 20, 24 << 20, 500_000
+BATCH, BUCKET, SPLIT = 14 << 20, 24 << 20, 500_000
 #: Counts up to K are discounted.
 K = 5
 END = "\n"  # no word holds white space
@@ -258,6 +258,8 @@ def score_documents(docs: DataFrame, role, id_col: str = "doc_id", text_col: str
     words = numbered.select("batch", F.posexplode(F.arrays_zip("words", "counts")).alias("code", "x")).select("batch", "code", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
     # Dense ids: place within a partition of the stored table, after the words of earlier partitions.
     vocab = settle(words.groupBy("word").agg(F.sum("n").alias("c")).withColumn("place", F.monotonically_increasing_id()), "vocabulary")
+    stored = vocab
+    release(docs.sparkSession)
     part = F.shiftright("place", 33)
     sizes = {r["p"]: r["n"] for r in vocab.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}  # one row per partition
     starts, size = [], 0
@@ -286,10 +288,14 @@ def score_documents(docs: DataFrame, role, id_col: str = "doc_id", text_col: str
     back = words.join(vocab, "word").select(F.col("batch").alias("of"), "code", "id", "c")
     payload = "batch bigint, doc_ids array<bigint>, roles binary, sizes binary, codes binary"
     coded = settle(back.groupBy("of").cogroup(numbered.select("batch", "doc_ids", "roles", "sizes", "codes").groupBy("batch")).applyInPandas(number_globally, f"{payload}, ids binary, word_counts binary"), "coded")
+    del words, vocab, back
+    release(docs.sparkSession, numbered, stored)
     sent = coded.select("batch", "roles", "sizes", "codes", "ids", "word_counts").mapInArrow(lambda it: _send(it, keys), "bucket bigint, batch bigint, n bigint, grams binary")
     bigrams = settle(
         sent.groupBy("bucket").applyInPandas(lambda f: _sum(f, keys, p1).assign(bucket=f["bucket"].iloc[0]), "batch bigint, n bigint, data binary, ids array<bigint>, stats array<double>, bucket bigint"), "bigrams"
     )
+    del sent
+    release(docs.sparkSession)
     counts = [r["c"] for r in bigrams.filter("batch = -2").select(F.posexplode("ids").alias("r", "c")).groupBy("r").agg(F.sum("c").alias("c")).orderBy("r").collect()] or [0] * (K + 3)
     hot_rows = bigrams.filter("batch = -1").select(F.posexplode("ids").alias("k", "id"), "stats").select("id", *(F.col("stats")[F.col("k") * (K + 2) + i].alias(f"s{i}") for i in range(K + 2)))
     hot = sc.broadcast({r["id"]: list(r)[1:] for r in hot_rows.groupBy("id").agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in range(K + 2))).collect()})  # fewer than SPLIT rows

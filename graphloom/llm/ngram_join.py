@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import buckets_for, settle, text_batches, text_or_empty
+from .common import buckets_for, release, settle, text_batches, text_or_empty
 from .components import components
 
 BATCH, BUCKET, N = 16 << 20, 24 << 20, 5
@@ -232,7 +232,10 @@ def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     sent = numbered.mapInArrow(lambda it: _send(it, buckets), "bucket bigint, batch bigint, n bigint, data binary")
     answers = sent.groupBy("bucket").applyInPandas(_frequencies, "batch bigint, bucket bigint, n bigint, data binary").withColumnRenamed("batch", "of")
     described = numbered.groupBy("batch").cogroup(answers.groupBy("of")).applyInPandas(lambda a, b: _describe(a, b, buckets), "doc_id bigint, n bigint, key binary, shared array<bigint>")
-    return settle(described, "described")
+    out = settle(described, "described")
+    del sent, answers, described
+    release(docs.sparkSession, numbered)
+    return out
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
