@@ -19,68 +19,56 @@ def splits_at_spaces(text: str) -> bool:
 
 
 class _Numbers(dict):
-    """Numbers words in order of appearance; unseen ones wait in `fresh` with what precedes them."""
+    """Numbers words in order of appearance; those not yet encoded wait in `fresh`."""
 
-    def __init__(self, fresh: list[str], lead: str):
-        self.fresh, self.lead, self.base = fresh, lead, [0]
+    def __init__(self):
+        self.fresh: list[str] = []
 
     def __missing__(self, word: str) -> int:
-        n = self[word] = self.base[0] + len(self.fresh)
-        self.fresh.append(self.lead + word)
+        n = self[word] = len(self)
+        self.fresh.append(word)
         return n
 
 
 class WordwiseEncoder:
-    """Ids of whole texts; encode_many gives the ids of each of a list of strings.
+    """Ids of whole texts by an encoder that works pre-token by pre-token.
 
-    Exact for any encoder that works pre-token by pre-token: texts in which a space may not begin one go to
-    encode_many as they are.
+    encode_many gives all ids of a list of strings and the number of each one's; encode_words the same for words, each
+    led by a space. Texts in which a space may not begin a pre-token go to encode_many as they are.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list], remember: int = REMEMBER):
-        self.encode_many, self.remember = encode_many, remember
+    def __init__(self, encode_many: Callable, encode_words: Callable, remember: int = REMEMBER):
+        self.encode_many, self.encode_words, self.remember = encode_many, encode_words, remember
         self.forget()
 
     def forget(self) -> None:
-        self.fresh: list[str] = []
-        self.words, self.heads = _Numbers(self.fresh, " "), _Numbers(self.fresh, "")
-        self.heads.base = self.words.base
+        self.words = _Numbers()
         self.lens, self.flat = np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def _learn(self) -> None:
-        if self.fresh:
-            new = self.encode_many(self.fresh)
-            self.lens = np.concatenate([self.lens, np.fromiter(map(len, new), np.int64, len(new))])
-            self.flat = np.concatenate([self.flat, np.fromiter((x for ids in new for x in ids), np.uint32)])
-            self.words.base[0] += len(new)
-            self.fresh.clear()
-
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after another, and the number of each text's."""
-        if len(self.words) + len(self.heads) > self.remember:
+        if len(self.words) > self.remember:
             self.forget()
-        codes, sizes, whole = [], [], {}
-        for k, text in enumerate(texts):
+        codes, sizes, heads = [], [], []  # a text is its head, encoded anew, and numbered words
+        for text in texts:
             if splits_at_spaces(text):
                 head, *rest = text.split(" ")
-                codes.append(self.heads[head])
-                codes.extend(map(self.words.__getitem__, rest))
-                sizes.append(1 + len(rest))
+                codes += map(self.words.__getitem__, rest)
             else:
-                whole[k] = text
-                sizes.append(0)
-        self._learn()
-        at = np.array(codes, np.int64)
-        del codes
-        lens = self.lens[at]
-        ids = gather(self.flat, (np.cumsum(self.lens) - self.lens)[at], lens)
-        ends = np.concatenate([[0], np.cumsum(lens)])[np.cumsum(np.array(sizes, np.int64))] if texts else np.zeros(0, np.int64)
-        counts = np.diff(ends, prepend=0)
-        if not whole:
-            return ids, counts
-        own = dict(zip(whole, self.encode_many(list(whole.values())), strict=True))
-        parts = [np.array(own[k], np.uint32) if k in own else ids[e - n : e] for k, (e, n) in enumerate(zip(ends, counts, strict=True))]
-        return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+                head, rest = text, ()
+            heads.append(head)
+            sizes.append(len(rest))
+        if self.words.fresh:
+            ids, lens = self.encode_words(self.words.fresh)
+            self.lens, self.flat = np.concatenate([self.lens, lens]), np.concatenate([self.flat, ids])
+            self.words.fresh = []
+        head_ids, head_lens = self.encode_many(heads)
+        flat, lens = np.concatenate([self.flat, head_ids]), np.concatenate([self.lens, head_lens])
+        at = np.insert(np.array(codes, np.int64), np.cumsum([0, *sizes[:-1]]) if sizes else [], len(self.lens) + np.arange(len(texts)))
+        own = lens[at]
+        ends = np.cumsum(np.array(sizes, np.int64) + 1)
+        counts = np.diff(np.concatenate([[0], np.cumsum(own)])[ends], prepend=0) if texts else np.zeros(0, np.int64)
+        return gather(flat, (np.cumsum(lens) - lens)[at], own), counts
 
 
 def gather(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -105,10 +93,28 @@ def json_encoder(vocabulary: str) -> WordwiseEncoder:
         tokenizer.encode_special_tokens = True
         _held.clear()
 
-        def encode_many(texts: list[str]) -> list[list[int]]:
-            return [e.ids for i in range(0, len(texts), 20_000) for e in tokenizer.encode_batch_fast(texts[i : i + 20_000], add_special_tokens=False)]
-
-        _held[key] = WordwiseEncoder(encode_many)
+        led = np.zeros(tokenizer.get_vocab_size(), bool)  # ids of tokens that begin with a space
+        for token, i in tokenizer.get_vocab().items():
+            led[i] = token[0] == "\u0120"
+
+        def encode_many(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            out = [np.array(e.ids, np.uint32) for i in range(0, len(texts), 2000) for e in tokenizer.encode_batch_fast(texts[i : i + 2000], add_special_tokens=False)]
+            return np.concatenate([*out, np.zeros(0, np.uint32)]), np.fromiter(map(len, out), np.int64, len(out))
+
+        def encode_words(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            """Many words make one string: each begins a pre-token there, and with it a token that begins with a space."""
+            odd = {i for i, w in enumerate(words) if not w or "\n" in w}
+            plain = [w for i, w in enumerate(words) if i not in odd] if odd else words
+            ids, _ = encode_many([" " + " ".join(plain[k : k + 400]) for k in range(0, len(plain), 400)])
+            lens = np.diff(np.append(np.flatnonzero(led[ids]), len(ids)))
+            if not odd:
+                return ids, lens
+            more, own = encode_many([" " + words[i] for i in sorted(odd)])
+            where = np.array(sorted(odd)) - np.arange(len(odd))  # places among the plain words
+            starts = np.append(np.cumsum(lens) - lens, len(ids))[where]
+            return np.insert(ids, np.repeat(starts, own), more), np.insert(lens, where, own)
+
+        _held[key] = WordwiseEncoder(encode_many, encode_words)
     return _held[key]
 
 
