@@ -1,9 +1,12 @@
 """Byte-level BPE over a global table of distinct pre-tokens.
 
-Texts are cut into pre-tokens, which a batch numbers; its documents become numbers with their positions kept, and each
-distinct pre-token of the batch is one row. These rows are shuffled by the pre-token, each distinct one is encoded
-once, its ids are joined back to the batches, and documents are put together by position. Decoding looks ids up in the
-table of token bytes.
+Texts are cut into pre-tokens. A batch numbers its distinct ones; the numbers in the order of their positions stay in a
+file of the shared folder, and the distinct pre-tokens go, as blobs, to the bucket of their hash. There equal ones of
+all batches meet, each distinct one is encoded once, and ids go back to the batches that asked, which put their
+documents together by position. Decoding looks ids up in the table of token bytes.
+
+A batch asks for a pre-token once, so the most frequent one has as many rows as there are batches, not positions. A
+batch's file has a new name in each attempt of its task; should a task run again, either file serves, being equal.
 
 Defined cases: null text counts as empty (no ids); repeated rows are encoded each; a null doc_id is kept; further
 columns are ignored; an empty table gives an empty result.
@@ -12,75 +15,140 @@ columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import base64
+import uuid
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.fs
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, text_batches, text_or_empty
-from .tokens import WordwiseEncoder, gather, vocabulary
+from .common import buckets_for, fresh, text_batches, text_or_empty
+from .tokens import gather, vocabulary
+
+BATCH, BUCKET = 14 << 20, 24 << 20
+
+_ASKED = pa.schema([("bucket", pa.int64()), ("batch", pa.int64()), ("path", pa.string()), ("begin", pa.int64()), ("size", pa.int64()), ("n", pa.int64()), ("codes", pa.binary()), ("words", pa.binary())])
+
+
+def pack(*parts: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
+
+
+def unpack(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers byte plane by byte plane, which packs better."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
 
-BATCH = 16 << 20
 
-_BATCH = pa.schema([("batch", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("codes", pa.binary()), ("words", pa.list_(pa.string()))])
+def unplane(data: bytes, n: int, at: int = 0) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, 4 * n, at).reshape(4, n).T).view("<u4").ravel()
 
 
-def _number(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[pa.RecordBatch]:
+def _number(batches: Iterator[pa.RecordBatch], pattern: str, buckets: int, folder: str) -> Iterator[pa.RecordBatch]:
     import regex
     from pyspark import TaskContext
 
     find, number = regex.compile(pattern).findall, TaskContext.get().partitionId() << 32
+    fs, root = pyarrow.fs.FileSystem.from_uri(folder)
+    path, out, begin = f"{root}/{uuid.uuid4().hex}", None, 0
     for batch in text_batches(batches, "text", BATCH):
-        codes: dict[str, int] = {}
-        encoder = WordwiseEncoder(lambda texts: [[codes.setdefault(w, len(codes)) for w in find(t)] for t in texts], 1 << 62)  # noqa: B023
-        ids, counts = encoder.encode(batch.column("text").to_pylist())
-        row = [number], [batch.column("doc_id").to_pylist()], [counts.tolist()], [zlib.compress(ids.astype("<u4" if len(codes) > 65536 else "<u2").tobytes(), 1)], [list(codes)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, _BATCH.types, strict=True)], schema=_BATCH)
-        number += 1
+        codes: dict[str, int] = defaultdict()
+        codes.default_factory = codes.__len__
+        parts = []
+        for text in batch.column("text"):
+            own = find(text.as_py())
+            parts.append(np.fromiter(map(codes.__getitem__, own), np.uint32, len(own)))
+        doc_ids, sizes = batch.column("doc_id").to_pylist(), np.array([len(p) for p in parts], "<u4")
+        known = np.array([x is not None for x in doc_ids], np.uint8)
+        data = pack(np.array([len(doc_ids), sizes.sum()], "<u8").tobytes(), known.tobytes(), np.array([x or 0 for x in doc_ids], "<i8").tobytes(), sizes.tobytes(), planes(np.concatenate(parts)))
+        out = out or fs.open_output_stream(path, compression=None)
+        out.write(data)
+        words = [w.encode() for w in codes]
+        bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
+        order = np.argsort(bucket, kind="stable")
+        at = np.flatnonzero(np.diff(bucket[order], prepend=-1)).tolist()
+        rows = [(number % buckets, number, path, begin, len(data), 0, pack(), pack())]  # so that a batch without pre-tokens is known too
+        for a, b in zip(at, [*at[1:], len(words)], strict=True):
+            own = [words[i] for i in order[a:b].tolist()]
+            rows.append((int(bucket[order[a]]), number, path, begin, len(data), b - a, pack(planes(order[a:b])), pack(planes(np.array(list(map(len, own)))), *own)))
+        for i in range(0, len(rows), 256):
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[i : i + 256]], t) for k, t in enumerate(_ASKED.types)], schema=_ASKED)
+        number, begin = number + 1, begin + len(data)
+    if out:
+        out.close()
 
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(None, data.splitlines()))}
 
 
-def _encode(batches: Iterator[pa.RecordBatch], ranks, pattern: str) -> Iterator[pa.RecordBatch]:
+def _encode(asked: pd.DataFrame, ranks, pattern: str) -> pd.DataFrame:
+    """One bucket: ids of its distinct pre-tokens, back to the batches that asked, in the order in which they asked."""
     import tiktoken
 
     encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=parse_ranks(ranks.value), special_tokens={})._encode_single_piece
-    for batch in batches:
-        ids = [np.array(encode(w), "<u4").tobytes() for w in batch.column("word").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(ids, pa.binary())], names=["word", "ids"])
+    places: dict[bytes, int] = defaultdict()
+    places.default_factory = places.__len__
+    wanted = []
+    for n, data in zip(asked["n"], asked["words"], strict=True):
+        raw = unpack(data)
+        ends = 4 * n + np.cumsum(unplane(raw, n), dtype=np.int64)
+        starts = [4 * n, *ends.tolist()]
+        wanted.append(np.fromiter((places[raw[a:b]] for a, b in zip(starts, starts[1:])), np.int64, n))
+    ids = [np.array(encode(w), "<u4") for w in places]
+    lens = np.fromiter(map(len, ids), np.int64, len(ids))
+    flat, starts = np.concatenate([*ids, np.zeros(0, "<u4")]), np.cumsum(lens) - lens
+    out = asked[["batch", "path", "begin", "size", "n", "codes"]].copy()
+    out["lens"] = [pack(planes(lens[w])) for w in wanted]
+    out["ids"] = [pack(planes(gather(flat, starts[w], lens[w]))) for w in wanted]
+    return out
+
+
+def _assemble(frame: pd.DataFrame, folder: str) -> pd.DataFrame:
+    """One batch: ids of its documents."""
+    fs, _ = pyarrow.fs.FileSystem.from_uri(folder)
+    row = frame.iloc[0]
+    with fs.open_input_file(row["path"]) as f:
+        f.seek(int(row["begin"]))
+        raw = unpack(f.read(int(row["size"])))
+    docs, total = np.frombuffer(raw, "<u8", 2).tolist()
+    known, at = np.frombuffer(raw, np.uint8, docs, 16), 16 + docs
+    doc_ids, sizes = np.frombuffer(raw, "<i8", docs, at), np.frombuffer(raw, "<u4", docs, at + 8 * docs).astype(np.int64)
+    codes = unplane(raw, total, at + 12 * docs)
+    n = frame["n"].to_numpy()
+    order = np.concatenate([unplane(unpack(x), k) for x, k in zip(frame["codes"], n, strict=True)])
+    own = np.concatenate([unplane(unpack(x), k) for x, k in zip(frame["lens"], n, strict=True)]).astype(np.int64)
+    flat = np.concatenate([unplane(raw, len(raw) // 4) for raw in map(unpack, frame["ids"])])
+    lens, starts = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+    lens[order], starts[order] = own, np.cumsum(own) - own
+    out, at = [], 0
+    for n in sizes.tolist():
+        part, at = codes[at : at + n], at + n
+        out.append(gather(flat, starts[part], lens[part]).astype("<u4").tobytes())
+    return pd.DataFrame({"doc_id": pd.Series(pd.array(doc_ids, "Int64")).mask(known == 0), "ids": out})
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, ids (little-endian unsigned 32-bit)."""
-    ranks = vocabulary(docs.sparkSession, path)
+    spark = docs.sparkSession
+    ranks, folder = vocabulary(spark, path), fresh(spark, "positions")
+    fs, root = pyarrow.fs.FileSystem.from_uri(folder)
+    fs.create_dir(root, recursive=True)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    numbered = settle(rows.mapInArrow(lambda it: _number(it, pattern), "batch bigint, doc_ids array<bigint>, sizes array<int>, codes binary, words array<string>"), "numbered")
-    words = numbered.select("batch", F.posexplode("words").alias("code", "word"))
-    encoded = words.select("word").distinct().mapInArrow(lambda it: _encode(it, ranks, pattern), "word string, ids binary")
-    back = words.join(encoded, "word").select(F.col("batch").alias("of"), "code", "ids")
-
-    def assemble(words: pd.DataFrame, batch: pd.DataFrame) -> pd.DataFrame:
-        if not len(batch):
-            return pd.DataFrame({"doc_id": [], "ids": []})
-        table = words.sort_values("code")["ids"].tolist()
-        lens = np.fromiter((len(x) // 4 for x in table), np.int64, len(table))
-        flat, starts = np.frombuffer(b"".join(table), "<u4"), np.cumsum(lens) - lens
-        row = batch.iloc[0]
-        codes = np.frombuffer(zlib.decompress(row["codes"]), "<u4" if len(table) > 65536 else "<u2")
-        out, at = [], 0
-        for n in row["sizes"]:
-            own, at = codes[at : at + n], at + n
-            out.append(gather(flat, starts[own], lens[own]).tobytes())
-        return pd.DataFrame({"doc_id": pd.array(row["doc_ids"], "Int64"), "ids": out})
-
-    # The batch side comes first in name only: a batch of empty texts has no words and still gives its rows.
-    return back.groupBy("of").cogroup(numbered.select("batch", "doc_ids", "sizes", "codes").groupBy("batch")).applyInPandas(assemble, "doc_id bigint, ids binary")
+    buckets = buckets_for(rows, "text", BUCKET)
+    place = "batch bigint, path string, begin bigint, size bigint, n bigint, codes binary"
+    asked = rows.mapInArrow(lambda it: _number(it, pattern, buckets, folder), f"bucket bigint, {place}, words binary")
+    answered = asked.groupBy("bucket").applyInPandas(lambda f: _encode(f, ranks, pattern), f"{place}, lens binary, ids binary")
+    return answered.groupBy("batch").applyInPandas(lambda f: _assemble(f, folder), "doc_id bigint, ids binary")
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
