@@ -32,14 +32,14 @@ def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
     inner = K - S + 1
     anchors = F.expr(
         f"filter(transform(sequence(1, greatest(size(_h) - {K - 1}, 1)), i -> "
-        f"if(array_min(slice(_s, i, {inner})) in (get(_s, i - 1), get(_s, i + {inner - 2})), shiftrightunsigned(xxhash64(slice(_h, i, {K})), 32), null)), x -> x is not null)"
+        f"if(array_min(slice(_s, i, {inner})) in (get(_s, i - 1), get(_s, i + {inner - 2})), cast(shiftright(xxhash64(slice(_h, i, {K})), 32) as int), null)), x -> x is not null)"
     )
-    df = df.withColumn("_a", F.when(F.size("_h") >= K, anchors).when(F.size("_h") > 0, F.array(F.shiftrightunsigned(F.xxhash64("_h"), 32))).otherwise(F.expr("cast(array() as array<bigint>)")))
+    df = df.withColumn("_a", F.when(F.size("_h") >= K, anchors).when(F.size("_h") > 0, F.array(F.shiftright(F.xxhash64("_h"), 32).cast("int"))).otherwise(F.expr("cast(array() as array<int>)")))
     return df.withColumn(out, F.slice(F.array_sort(F.array_distinct("_a")), 1, KEEP)).drop("_h", "_s", "_a")
 
 
 def digest(hashes: Column) -> Column:
-    return F.array_join(F.transform(hashes, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
+    return F.array_join(F.transform(hashes, lambda x: F.lpad(F.lower(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -71,7 +71,8 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         F.left("text", F.length("text") - half).alias("head"),
     )
     one = Window.partitionBy("key").orderBy("doc_id")
-    right = marked.withColumn("nth", F.row_number().over(one)).filter("nth = 1").select(F.col("key").alias("next_key"), F.col("text").alias("next_text"), F.col("hashes").alias("next_hashes"))
+    # The first row of each key; not by row_number(), whose limit would go below the shuffle that both sides share.
+    right = marked.withColumn("first", F.lag(F.lit(True)).over(one).isNull()).filter("first").select(F.col("key").alias("next_key"), F.col("text").alias("next_text"), F.col("hashes").alias("next_hashes"))
     both = left.join(right, "next_key").withColumn("edited", F.concat("head", F.left("next_text", F.col("half"))))
     both = with_anchors(both.select("doc_id", "n_chars", "hashes", "next_hashes", "edited"), "edited", "edited_hashes")
     return both.select(
