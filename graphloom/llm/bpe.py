@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import buckets_for, fresh, text_batches, text_or_empty
 from .tokens import gather, vocabulary
 
-BATCH, BUCKET = 14 << 20, 24 << 20
+BATCH, BUCKET = 9 << 20, 24 << 20
 
 _ASKED = pa.schema([("bucket", pa.int64()), ("batch", pa.int64()), ("path", pa.string()), ("begin", pa.int64()), ("size", pa.int64()), ("n", pa.int64()), ("codes", pa.binary()), ("words", pa.binary())])
 
