@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_for, fresh, text_batches, text_or_empty
+from .common import buckets_for, fresh, text_batches, text_or_empty, tidied
 from .tokens import gather, vocabulary
 
 BATCH, BUCKET = 9 << 20, 24 << 20
@@ -53,6 +53,7 @@ def unplane(data: bytes, n: int, at: int = 0) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8, 4 * n, at).reshape(4, n).T).view("<u4").ravel()
 
 
+@tidied
 def _number(batches: Iterator[pa.RecordBatch], pattern: str, buckets: int, folder: str) -> Iterator[pa.RecordBatch]:
     import regex
     from pyspark import TaskContext
@@ -91,6 +92,7 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(None, data.splitlines()))}
 
 
+@tidied
 def _encode(asked: pd.DataFrame, ranks, pattern: str) -> pd.DataFrame:
     """One bucket: ids of its distinct pre-tokens, back to the batches that asked, in the order in which they asked."""
     import tiktoken
@@ -113,6 +115,7 @@ def _encode(asked: pd.DataFrame, ranks, pattern: str) -> pd.DataFrame:
     return out
 
 
+@tidied
 def _assemble(frame: pd.DataFrame, folder: str) -> pd.DataFrame:
     """One batch: ids of its documents."""
     fs, _ = pyarrow.fs.FileSystem.from_uri(folder)

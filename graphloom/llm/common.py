@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
+import inspect
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -65,6 +68,44 @@ def buckets_for(df: DataFrame, text_col: str, bytes_each: int, least: int = 12)
     return max(least, -(-total // bytes_each))
 
 
+_held: list[tuple[object, object]] = []
+
+
+def held(key: object, make):
+    """What make() gives, kept in this Python worker until another thing is wanted; one thing at a time."""
+    if not _held or _held[0][0] != key:
+        _held.clear()
+        _held.append((key, make()))
+    return _held[0][1]
+
+
+def _tidy() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def tidied(f):
+    """Give memory back when the function, or the generator, has ended: workers live on idle."""
+
+    @functools.wraps(f)
+    def plain(*args):
+        try:
+            return f(*args)
+        finally:
+            _tidy()
+
+    @functools.wraps(f)
+    def generator(*args):
+        try:
+            yield from f(*args)
+        finally:
+            _tidy()
+
+    return generator if inspect.isgeneratorfunction(f) else plain
+
+
 def text_batches(batches: Iterator[pa.RecordBatch], col: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about limit bytes of text (one row at least)."""
     for batch in batches:

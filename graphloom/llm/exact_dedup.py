@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle, text_batches, text_or_empty
+from .common import settle, text_batches, text_or_empty, tidied
 
 #: Chunk sizes in bytes: none below, none above, and 1 / 2**CUT_BITS of positions are cut points.
 LEAST, MOST, CUT_BITS = 256, 8192, 10
@@ -56,11 +56,12 @@ def cut_points(data: bytes) -> list[int]:
     return ends
 
 
+@tidied
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     row_id = TaskContext.get().partitionId() << 40
-    for batch in text_batches(batches, "text"):
+    for batch in text_batches(batches, "text", 4 << 20):
         found: dict[bytes, tuple[bytes, list]] = {}
         other = []  # the same digest with other bytes within a batch
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):

@@ -29,9 +29,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_for, release, settle, text_batches, text_or_empty
+from .common import buckets_for, release, settle, text_batches, text_or_empty, tidied
 
-BATCH, BUCKET, SPLIT = 14 << 20, 24 << 20, 500_000
+BATCH, BUCKET, SPLIT = 14 << 20, 12 << 20, 500_000
 #: Counts up to K are discounted.
 K = 5
 END = "\n"  # no word holds white space
@@ -47,6 +47,7 @@ def unpack(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
+@tidied
 def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
@@ -142,6 +143,7 @@ def _one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield batch.slice(i, 1).to_pylist()[0]
 
 
+@tidied
 def _send(batches: Iterator[pa.RecordBatch], keys: Keys) -> Iterator[pa.RecordBatch]:
     names, types = ["bucket", "batch", "n", "grams"], (pa.int64(), pa.int64(), pa.int64(), pa.binary())
     for row in _one_by_one(batches):
@@ -156,6 +158,7 @@ def _send(batches: Iterator[pa.RecordBatch], keys: Keys) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[i : i + 64]], t) for k, t in enumerate(types)], names=names)
 
 
+@tidied
 def _sum(frame: pd.DataFrame, keys: Keys, p1: Unigrams) -> pd.DataFrame:
     """One bucket: totals of its bigrams and statistics of its contexts, back to the batches."""
     sent = []
@@ -213,6 +216,7 @@ class Backoff:
         return self.d2[np.minimum(c, K + 1)] * c / over
 
 
+@tidied
 def _score(coded: pd.DataFrame, back: pd.DataFrame, keys: Keys, model: Backoff, hot, base: tuple[int, int]) -> pd.DataFrame:
     names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
     if not len(coded):

@@ -24,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import held, text_batches, tidied
 
-SAMPLE_SYMBOLS, PIECE, WINDOW, HELD_BACK = 240_000, 2000, 1024, 6
+SAMPLE_SYMBOLS, PIECE, WINDOW, HELD_BACK = 200_000, 2000, 1024, 6
 #: Classes of symbols: unknown letters and the space that stands for a run of other characters.
 UNKNOWN, GAP, FIRST = 0, 1, 2
 
@@ -171,19 +171,14 @@ def fit_sample(labelled: DataFrame) -> dict[str, list[str]]:
     return sample
 
 
-_model: dict[str, Model] = {}
-
-
 def predict(docs: DataFrame, sample: dict[str, list[str]], carry: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """The carried columns with lang_pred and score."""
     shipped, name = docs.sparkSession.sparkContext.broadcast(sample), uuid.uuid4().hex
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _model:
-            _model.clear()
-            _model[name] = Model(shipped.value)
-        model = _model[name]
-        for batch in text_batches(batches, "_text", 4 << 20):
+        model = held(("languages", name), lambda: Model(shipped.value))
+        for batch in text_batches(batches, "_text", 2 << 20):
             langs, scores = model.predict(batch.column("_text").to_pylist())
             kept = batch.drop_columns(["_text"])
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*kept.schema.names, "lang_pred", "score"])

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle, text_batches, text_or_empty
+from .common import settle, text_batches, text_or_empty, tidied
 from .tokens import json_encoder, vocabulary
 
 CAPACITY, END_ID = 2048, 0
@@ -29,12 +29,13 @@ CAPACITY, END_ID = 2048, 0
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("part", pa.int32()), ("nth", pa.int64())])
 
 
+@tidied
 def _cut(batches: Iterator[pa.RecordBatch], vocab, end_id: int, capacity: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
     encoder = json_encoder(vocab.value.decode())
-    for batch in text_batches(batches, "text"):
+    for batch in text_batches(batches, "text", 3 << 20):
         ids, counts = encoder.encode(batch.column("text").to_pylist())
         data, rows, at = ids.astype("<u4").tobytes(), [], 0
         for doc_id, n in zip(batch.column("doc_id").to_pylist(), counts.tolist(), strict=True):

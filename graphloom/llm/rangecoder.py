@@ -27,7 +27,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import buckets_for, fresh, settle, text_batches, text_or_empty
+from .common import buckets_for, fresh, settle, text_batches, text_or_empty, tidied
 from .tokens import json_encoder, vocabulary
 
 BLOCK, STRIPE, END_ID = 8192, 12 << 20, 2
@@ -207,6 +207,7 @@ def unpack_stripe(read) -> tuple[list[int | None], np.ndarray, np.ndarray] | Non
     return [k if ok else None for k, ok in zip(keys.tolist(), known.tolist(), strict=True)], counts.astype(np.int64), np.concatenate([*blocks, np.zeros(0, _32)])
 
 
+@tidied
 def _write(batches: Iterator[pa.RecordBatch], folder: str, vocab, end_id: int, limit: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
@@ -223,7 +224,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, vocab, end_id: int, l
             out.write(pack_stripe([x for d, _, _ in held for x in d], np.concatenate([c for _, c, _ in held]), np.concatenate([i for _, _, i in held]), limit))
             held, waiting = [], 0
 
-    for batch in text_batches(batches, "text"):
+    for batch in text_batches(batches, "text", 3 << 20):
         ids, counts = encoder.encode(batch.column("text").to_pylist())
         ids = np.insert(ids, np.cumsum(counts), end_id)
         held.append((batch.column("doc_id").to_pylist(), counts + 1, ids))
@@ -236,6 +237,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, vocab, end_id: int, l
         yield pa.RecordBatch.from_pydict({"path": [path], "part": [TaskContext.get().partitionId()], "tokens": [tokens]}, pa.schema([("path", pa.string()), ("part", pa.int32()), ("tokens", pa.int64())]))
 
 
+@tidied
 def _read(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
     fs, _ = pyarrow.fs.FileSystem.from_uri(folder)
     names = ["doc_id", "start", "n_tokens", "ids"]

@@ -7,10 +7,12 @@ from collections.abc import Callable
 
 import numpy as np
 
+from .common import held
+
 #: White space other than space and newline (with the separators that regex dialects disagree on).
 ODD_SPACE = "\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0                　"
 #: Distinct words that a worker remembers.
-REMEMBER = 300_000
+REMEMBER = 250_000
 
 
 def splits_at_spaces(text: str) -> bool:
@@ -80,18 +82,15 @@ def gather(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray
     return flat[at]
 
 
-_held: dict[int, WordwiseEncoder] = {}
-
-
 def json_encoder(vocabulary: str) -> WordwiseEncoder:
     """This worker's encoder of a vocabulary in the tokenizers library's JSON (its content, not its path)."""
-    if (key := hash(vocabulary)) not in _held:
+
+    def make() -> WordwiseEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(vocabulary)
         tokenizer.encode_special_tokens = True
-        _held.clear()
 
         led = np.zeros(tokenizer.get_vocab_size(), bool)  # ids of tokens that begin with a space
         for token, i in tokenizer.get_vocab().items():
@@ -114,8 +113,9 @@ def json_encoder(vocabulary: str) -> WordwiseEncoder:
             starts = np.append(np.cumsum(lens) - lens, len(ids))[where]
             return np.insert(ids, np.repeat(starts, own), more), np.insert(lens, where, own)
 
-        _held[key] = WordwiseEncoder(encode_many, encode_words)
-    return _held[key]
+        return WordwiseEncoder(encode_many, encode_words)
+
+    return held(("encoder", hash(vocabulary)), make)
 
 
 def vocabulary(spark, path: str):
