@@ -96,6 +96,6 @@ def kubernetes(objects: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     )
     labels = F.transform(F.map_entries(F.coalesce("labels", F.create_map())), lambda e: F.concat(F.lit("label:"), e.key, F.lit("="), e.value))
     nodes = rows.select("id", "title", "kind", F.array_sort(F.array_distinct(F.concat(F.array(F.lit("kubernetes"), "kind"), labels))).alias("tags"))
-    refs = rows.select(F.concat(F.lit("uid:"), F.explode("owners.uid")).alias("src"), F.col("id").alias("dst"))
+    refs = rows.select(F.explode("owners.uid").alias("uid"), F.col("id").alias("dst")).select(F.concat(F.lit("uid:"), "uid").alias("src"), "dst")
     known = nodes.select(F.col("id").alias("src"))
     return nodes, refs.join(known, "src", "left_semi"), refs.join(known, "src", "left_anti")
