@@ -33,10 +33,10 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import buckets_for, release, settle, text_batches, text_or_empty
+from .common import buckets_for, release, settle, text_batches, text_or_empty, tidied
 from .components import components
 
-BATCH, BUCKET, N = 16 << 20, 24 << 20, 5
+BATCH, BUCKET, N = 9 << 20, 8 << 20, 5
 #: Links need 100 * intersection >= PERCENT * union; sets that one trie holds.
 PERCENT, TRIE = 80, 256
 
@@ -52,6 +52,7 @@ def unpack(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
+@tidied
 def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
     from pyspark import TaskContext
@@ -97,8 +98,8 @@ def shingle_sets(words: np.ndarray, sizes: np.ndarray, n: int = N) -> tuple[np.n
     return h[new], np.bincount(doc[new], minlength=len(sizes))
 
 
-def _batch_sets(row: dict, buckets: int):
-    """Sets of a batch, keys of equal sets, which are first of their key; distinct shingles of these by (bucket, hash)."""
+def _batch_sets(row: dict, buckets: int, shift: int):
+    """Sets of a batch, keys of equal sets, which are first of their key; distinct leading bits of these shingles by (bucket, bits)."""
     sizes = np.frombuffer(row["sizes"], "<u4").astype(np.int64)
     words = np.frombuffer(unpack(row["hashes"]), "<u8")[np.frombuffer(unpack(row["codes"]), "<u4")]
     h, counts = shingle_sets(words, sizes)
@@ -107,7 +108,7 @@ def _batch_sets(row: dict, buckets: int):
     firsts: dict[bytes, int] = {}
     first = np.array([firsts.setdefault(k, i) == i for i, k in enumerate(keys)], bool)
     own = np.repeat(first, counts)
-    distinct, times = np.unique(h[own], return_counts=True)
+    distinct, times = np.unique(h[own] >> _U(shift), return_counts=True)
     bucket = distinct % _U(buckets)
     order = np.argsort(bucket, kind="stable")
     return h, counts, keys, first, distinct[order], times[order], bucket[order].astype(np.int64)
@@ -118,19 +119,21 @@ def _runs(bucket: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(at, [*at[1:], len(bucket)], strict=True))
 
 
-def _send(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+@tidied
+def _send(batches: Iterator[pa.RecordBatch], buckets: int, shift: int) -> Iterator[pa.RecordBatch]:
     names, types = ["bucket", "batch", "n", "data"], (pa.int64(), pa.int64(), pa.int64(), pa.binary())
     for batch in batches:
         for k in range(batch.num_rows):
             row = batch.slice(k, 1).to_pylist()[0]
-            *_, distinct, times, bucket = _batch_sets(row, buckets)
+            *_, distinct, times, bucket = _batch_sets(row, buckets, shift)
             rows = [(int(bucket[a]), row["batch"], b - a, pack(np.diff(distinct[a:b], prepend=_U(0)), times[a:b].astype("<u4"))) for a, b in _runs(bucket)]
             for i in range(0, len(rows), 64):
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[i : i + 64]], t) for k, t in enumerate(types)], names=names)
 
 
+@tidied
 def _frequencies(frame: pd.DataFrame) -> pd.DataFrame:
-    """One bucket: how many sets hold each shingle, told to each batch in the order of its question."""
+    """One bucket: how many sets hold shingles of these bits, told to each batch in the order of its question."""
     sent = []
     for n, data in zip(frame["n"], frame["data"], strict=True):
         raw = unpack(data)
@@ -145,17 +148,18 @@ def prefix_length(n: np.ndarray) -> np.ndarray:
     return n - -(-n * PERCENT // 100) + 1
 
 
-def _describe(batch: pd.DataFrame, back: pd.DataFrame, buckets: int) -> pd.DataFrame:
+@tidied
+def _describe(batch: pd.DataFrame, back: pd.DataFrame, buckets: int, shift: int) -> pd.DataFrame:
     """Per document: n, key, whether first of its key in the batch; of those with a shared shingle in their prefix, all shared ones in global order."""
     if not len(batch):
         return pd.DataFrame({k: [] for k in ("doc_id", "n", "key", "shared")})
     row = batch.iloc[0]
-    h, counts, keys, first, distinct, _, bucket = _batch_sets(row, buckets)
+    h, counts, keys, first, distinct, _, bucket = _batch_sets(row, buckets, shift)
     answers = dict(zip(back["bucket"], back["data"], strict=True))
     df = np.concatenate([np.frombuffer(unpack(answers[int(bucket[a])]), "<u4") for a, _ in _runs(bucket)] + [np.zeros(0, "<u4")])
     order = np.argsort(distinct)
     distinct, df = distinct[order], df[order]
-    often = df[np.searchsorted(distinct, h)].astype(np.int64) if len(h) else np.zeros(0, np.int64)
+    often = df[np.searchsorted(distinct, h >> _U(shift))].astype(np.int64) if len(h) else np.zeros(0, np.int64)
     ends, prefix = np.cumsum(counts), prefix_length(counts)
     alone = np.bincount(np.repeat(np.arange(len(counts)), counts), often == 1, len(counts)).astype(np.int64)
     shared: list[np.ndarray | None] = [None] * len(counts)
@@ -228,10 +232,13 @@ def _similar_sizes(a: str, b: str):
 def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     buckets = buckets_for(rows, "text", BUCKET)
+    # Frequencies are counted by leading bits, ten more than shingles could need: a chance meeting only makes a shingle
+    # look less rare, and in the same way to all documents.
+    shift = max(0, 64 - (buckets * BUCKET).bit_length() - 10)
     numbered = settle(rows.mapInArrow(_number, "batch bigint, doc_ids array<bigint>, sizes binary, codes binary, hashes binary"), "shingled")
-    sent = numbered.mapInArrow(lambda it: _send(it, buckets), "bucket bigint, batch bigint, n bigint, data binary")
-    answers = sent.groupBy("bucket").applyInPandas(_frequencies, "batch bigint, bucket bigint, n bigint, data binary").withColumnRenamed("batch", "of")
-    described = numbered.groupBy("batch").cogroup(answers.groupBy("of")).applyInPandas(lambda a, b: _describe(a, b, buckets), "doc_id bigint, n bigint, key binary, shared array<bigint>")
+    sent = numbered.mapInArrow(lambda it: _send(it, buckets, shift), "bucket bigint, batch bigint, n bigint, data binary")
+    answers = sent.groupBy("bucket").applyInPandas(lambda f: _frequencies(f), "batch bigint, bucket bigint, n bigint, data binary").withColumnRenamed("batch", "of")
+    described = numbered.groupBy("batch").cogroup(answers.groupBy("of")).applyInPandas(lambda a, b: _describe(a, b, buckets, shift), "doc_id bigint, n bigint, key binary, shared array<bigint>")
     out = settle(described, "described")
     del sent, answers, described
     release(docs.sparkSession, numbered)
