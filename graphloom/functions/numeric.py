@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
+from ..graph import dense_index
+
 
 @pandas_udf(DoubleType())
 def to_half(x: pd.Series) -> pd.Series:
@@ -26,9 +28,10 @@ def normalized(df: DataFrame, col: str, out: str) -> DataFrame:
     return df.crossJoin(F.broadcast(ends)).withColumn(out, (F.col(col) - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-6))).drop("_lo", "_hi")
 
 
-def nearest_rank(df: DataFrame, col: str, q: float) -> DataFrame:
-    """One row: the value at place floor((n - 1) q) of the finite values in order, by counting distinct values."""
+def nearest_rank(df: DataFrame, col: str, *qs: float) -> DataFrame:
+    """value, q: the value at place floor((n - 1) q) of the finite values in order, for each q; sorted by ranges, not in one task."""
     finite = df.filter(~F.isnan(col) & F.col(col).isNotNull() & (F.abs(col) != float("inf")))
-    counts = finite.groupBy(F.col(col).alias("v")).agg(F.count("*").alias("n"))
-    upto = Window.orderBy("v")
-    return counts.withColumn("c", F.sum("n").over(upto)).crossJoin(F.broadcast(finite.agg((F.floor((F.count("*") - 1) * q)).alias("k")))).filter("c > k").agg(F.min("v").alias("value"))
+    ranked = dense_index(finite.select(F.col(col).alias("value")), "value")
+    size = ranked.agg(F.count("*").alias("n"))
+    wanted = size.select("n", F.explode(F.array(*map(F.lit, qs))).alias("q")).select("q", F.floor((F.col("n") - 1) * F.col("q")).alias("idx"))
+    return ranked.join(F.broadcast(wanted), "idx").select("value", "q")  # one row for each q

@@ -63,6 +63,34 @@ def kind_of(x: Column) -> Column:
     )
 
 
+def title(x: Column, id_: Column, most: int, prefix: str) -> Column:
+    """The first line, cut to `most` characters (at its last space, if that is past byte most / 2) with an ellipsis; without one the prefix and 8 characters of the id."""
+    line = F.trim(F.regexp_extract(F.coalesce(x, F.lit("")), r"^([^\n]*)", 1))
+    head = F.left(line, F.lit(most))
+    upto = F.regexp_extract(head, r"^(.*) [^ ]*$", 1)
+    cut = F.when(head.contains(" ") & (F.octet_length(upto) > most // 2), upto).otherwise(head)
+    return F.when(line == "", F.concat(F.lit(prefix + " "), F.left(id_, F.lit(8)))).when(F.length(line) <= most, line).otherwise(F.concat(cut, F.lit("…")))
+
+
+def escaped(x: Column) -> Column:
+    """Text for HTML."""
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        x = F.replace(x, F.lit(raw), F.lit(safe))
+    return x
+
+
+def short_id(x: Column, most: int = 24) -> Column:
+    """What follows the last slash, at most so many characters."""
+    return F.left(F.substring_index(x, "/", -1), F.lit(most))
+
+
+def snippet(x: Column, words: list[str], around: int = 60) -> Column:
+    """The surroundings of the first of the words (whole, in either case), each of them in <b>; null if there is none."""
+    any_ = "|".join(re.escape(w) for w in words)
+    near = F.regexp_extract(x, rf"(?is)(.{{0,{around}}}(?<![\p{{L}}\p{{N}}])(?:{any_})(?![\p{{L}}\p{{N}}]).{{0,{around}}})", 1)
+    return F.nullif(F.regexp_replace(escaped(near), rf"(?i)(?<![\p{{L}}\p{{N}}])({any_})(?![\p{{L}}\p{{N}}])", "<b>$1</b>"), F.lit(""))
+
+
 def wikilinks(text: str) -> list[str]:
     """Targets of [[target#heading|alias]], trimmed, without empty ones; one that is not closed runs to the end."""
     found = (m.group(1) for m in re.finditer(r"\[\[(.*?)(?:\]\]|\Z)", text, re.S))

@@ -112,3 +112,52 @@ def last_commits(log: DataFrame, k: int) -> DataFrame:
     """The newest k commits of each branch of log(branch, ts, commit)."""
     newest = Window.partitionBy("branch").orderBy(F.desc("ts"), F.desc("commit"))
     return log.withColumn("place", F.row_number().over(newest)).filter(F.col("place") <= k)
+
+
+def resolve(merged: DataFrame, choices: DataFrame) -> DataFrame:
+    """Merged nodes after choices(id, choice, body): ours, theirs, deleted or an explicit body; the others stay as they are."""
+    c = F.col("choice")
+    body = F.when(c == "ours", F.col("ours")).when(c == "theirs", F.col("theirs")).when(c == "explicit", F.col("chosen")).when(c == "deleted", F.lit(None)).otherwise(F.col("body"))
+    out = merged.join(choices.select("id", "choice", F.col("body").alias("chosen")), "id", "left")
+    return out.select("id", body.alias("body"), (F.col("clean") | c.isNotNull()).alias("clean"), "base", "ours", "theirs")
+
+
+def first_parent_log(parents: DataFrame, start: str, limit: int) -> DataFrame:
+    """commit, place of the walk from start along first parents of parents(commit, parent, nth), newest first.
+
+    Walks by doubling: after k rounds a table of jumps of 2 ** k steps gives as many commits at once.
+    """
+    spark = parents.sparkSession
+    jump = settle(parents.filter("nth = 0").select("commit", F.col("parent").alias("to")), "jump")
+    seen = settle(spark.createDataFrame([(start, 0)], "commit string, place int"), "log")
+    step = 1
+    while step < limit:
+        more = seen.join(jump, "commit").select(F.col("to").alias("commit"), (F.col("place") + step).alias("place"))
+        if not more.limit(1).count():
+            break
+        seen = settle(seen.unionAll(more), "log")
+        jump = settle(jump.select("commit", F.col("to").alias("via")).join(jump.select(F.col("commit").alias("via"), "to"), "via").select("commit", "to"), "jump")
+        step *= 2
+    return seen.filter(F.col("place") < limit)
+
+
+def topological(commits: DataFrame, parents: DataFrame) -> DataFrame:
+    """commit, level: the longest way from a root, so that ordering by (level, commit) puts parents first; a cycle is refused."""
+    links = settle(parents.select("commit", "parent").distinct(), "links")
+    roots = commits.select("commit").join(links, "commit", "left_anti")
+    done = settle(roots.withColumn("level", F.lit(0)), "levels")
+    left, level = settle(commits.select("commit").join(done, "commit", "left_anti"), "left"), 0
+    while left.limit(1).count():
+        level += 1
+        waits = links.join(left.select(F.col("commit").alias("parent")), "parent", "left_semi").select("commit")
+        ready = settle(left.join(waits, "commit", "left_anti").withColumn("level", F.lit(level)), "ready")
+        if not ready.limit(1).count():
+            raise ValueError("commits form a cycle")
+        done, left = done.unionAll(ready), settle(left.join(ready, "commit", "left_anti"), "left")
+    return done
+
+
+def ordered_ops(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """All ops of a diff with their place: node upserts, node deletes, edge upserts, edge deletes."""
+    place = F.element_at(F.create_map(*(F.lit(x) for i, k in enumerate(("upsert_node", "delete_node", "upsert_edge", "delete_edge")) for x in (k, i))), F.col("kind"))
+    return nodes.unionByName(edges, allowMissingColumns=True).withColumn("place", place)

@@ -225,7 +225,7 @@ def layout_concentric(spark, d):
     return layout.concentric(s).select("idx", "ring", (F.round("x", 6) + 0.0).alias("x"), (F.round("y", 6) + 0.0).alias("y"))
 
 
-@query("""SELECT range AS idx, round((range % 10 - 4.5) * 10, 6) AS x, round((range // 10 - 4.5) * 10, 6) AS y, 0.0::DOUBLE AS z FROM range(100)""")
+@query("""SELECT range AS idx, round((range % 10 - 4.5::DOUBLE) * 10, 6) AS x, round((range // 10 - 4.5::DOUBLE) * 10, 6) AS y, 0.0::DOUBLE AS z FROM range(100)""")
 def layout_grid(spark, d):
     return layout.grid(spark.range(100).withColumnRenamed("id", "idx"), 100)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -60,3 +60,26 @@ def since(events: DataFrame, seq: int, kept: int = 1024) -> DataFrame:
     """Events from a cursor on, of the last `kept` ones."""
     newest = events.agg((F.max("seq") - kept).alias("least"))
     return events.crossJoin(F.broadcast(newest)).filter((F.col("seq") >= seq) & (F.col("seq") > F.col("least"))).drop("least").orderBy("seq")
+
+
+def keyframed(frames: DataFrame, every: int, cols: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
+    """Of frames(idx, frame, ...) each node's every-th in order as it is (keyframe true), the others as what changed since the frame before."""
+    order = Window.partitionBy("idx").orderBy("frame")
+    out = frames.withColumn("_n", F.row_number().over(order) - 1)
+    key = F.col("_n") % every == 0
+    held = [F.when(key, F.col(c)).otherwise(F.col(c) - F.lag(c).over(order)).alias(c) for c in cols]
+    return out.select("idx", "frame", F.floor(F.col("_n") / every).alias("run"), key.alias("keyframe"), *held)
+
+
+def restored(deltas: DataFrame, cols: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
+    """The frames that keyframed() took, by running sums from each keyframe."""
+    upto = Window.partitionBy("idx", "run").orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
+    return deltas.select("idx", "frame", *(F.sum(c).over(upto).alias(c) for c in cols))
+
+
+def displacement(frames: DataFrame) -> DataFrame:
+    """Per frame: how far its nodes moved since their frame before, at most and on average; first frames count as no move."""
+    order = Window.partitionBy("idx").orderBy("frame")
+    far = F.sqrt(sum(((F.col(c) - F.lag(c).over(order)) ** 2 for c in "yz"), (F.col("x") - F.lag("x").over(order)) ** 2))
+    moved = frames.select("frame", F.coalesce(far, F.lit(0.0)).alias("d"))
+    return moved.groupBy("frame").agg(F.max("d").alias("most"), F.avg("d").alias("mean"))
