@@ -106,8 +106,8 @@ def hilbert(nodes: DataFrame, n: int, order: int = 6, extent: float = 1000.0) ->
 
     def turn(at: Column, k: Column) -> Column:
         """One digit of base four, from the least: the square below is mirrored or swapped, then moved to its quadrant."""
-        s, digit = F.shiftleft(F.lit(1).cast("long"), k), F.pmod(F.shiftright(at.code, 2 * k), F.lit(4))
-        rx, ry = F.floor(digit / 2), F.when((digit == 1) | (digit == 2), 1).otherwise(0)
+        s, digit = F.call_function("shiftleft", F.lit(1).cast("long"), k), F.pmod(F.call_function("shiftright", at.code, 2 * k), F.lit(4))
+        rx, ry = F.floor(digit / 2), F.when((digit == 1) | (digit == 2), 1).otherwise(0).cast("long")
         flip = (ry == 0) & (rx == 1)
         x, y = F.when(flip, s - 1 - at.x).otherwise(at.x), F.when(flip, s - 1 - at.y).otherwise(at.y)
         return F.struct((F.when(ry == 0, y).otherwise(x) + s * rx).alias("x"), (F.when(ry == 0, x).otherwise(y) + s * ry).alias("y"), at.code.alias("code"))
