@@ -27,7 +27,7 @@ def slug(x: Column) -> Column:
 
 
 def csv_list(x: Column) -> Column:
-    return F.filter(F.transform(F.split(x, ","), F.trim), lambda v: v != "")
+    return F.filter(F.transform(F.split(x, ","), lambda v: F.trim(v)), lambda v: v != "")
 
 
 def sorted_unique(x: Column) -> Column:
