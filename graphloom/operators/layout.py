@@ -200,3 +200,34 @@ def angles(g: Graph, pos: DataFrame, most: int = 64) -> DataFrame:
     dot = lambda r, s: r[0] * s[0] + r[1] * s[1] + r[2] * s[2]
     cos = dot(u, v) / F.greatest(F.sqrt(dot(u, u) * dot(v, v)), F.lit(1e-12))
     return met.select("centre", "a", "b", F.acos(F.greatest(F.least(cos, F.lit(1.0)), F.lit(-1.0))).alias("angle"))
+
+
+def spectral(g: Graph, rounds: int = 30, scale: float = 100.0) -> DataFrame:
+    """idx, x, y, z by the smoothest vectors of the simple graph's Laplacian L: power rounds of c I - L with c = 2 * most degree + 1.
+
+    Each round the three vectors lose their mean and their parts along earlier ones and are scaled; only their dot
+    products, six numbers, reach the driver. The largest coordinate of an axis is `scale`.
+    """
+    near = settle(g.neighbours(), "near")
+    deg = g.nodes.select("idx").join(near.groupBy(F.col("src").alias("idx")).agg(F.count("*").alias("deg")), "idx", "left").na.fill(0)
+    deg = settle(deg, "degrees")
+    n, top = deg.agg(F.count("*"), F.max("deg")).first()
+    if not n:
+        return deg.select("idx", *(F.lit(0.0).alias(c) for c in "xyz"))
+    c = 2 * top + 1
+    state = deg.select("idx", *((F.pmod(F.xxhash64("idx", F.lit(k)), F.lit(2001)) / 1000.0 - 1).alias(v) for k, v in enumerate("xyz")))
+    for _ in range(rounds):
+        pull = near.join(state.withColumnRenamed("idx", "dst"), "dst").groupBy(F.col("src").alias("idx")).agg(*(F.sum(v).alias("s" + v) for v in "xyz"))
+        state = state.join(deg, "idx").join(pull, "idx", "left").na.fill(0.0)
+        state = settle(state.select("idx", *(((c - F.col("deg")) * F.col(v) + F.col("s" + v)).alias(v) for v in "xyz")), "vectors")
+        for i, v in enumerate("xyz"):
+            dots = state.agg(F.avg(v), *(F.sum(F.col(v) * F.col(u)) for u in "xyz"[:i]), *(F.sum(u) for u in "xyz"[:i])).first()
+            clear = F.col(v) - dots[0]
+            for j, u in enumerate("xyz"[:i]):  # earlier ones are of length 1 and without mean
+                clear = clear - F.lit(dots[1 + j] - dots[0] * dots[1 + i + j]) * F.col(u)
+            state = state.withColumn(v, clear)
+            length = math.sqrt(state.agg(F.sum(F.col(v) ** 2)).first()[0])
+            state = state.withColumn(v, F.col(v) / length if length > 1e-9 else F.lit(0.0))
+        state = settle(state, "vectors")
+    ends = state.agg(*(F.max(F.abs(v)) for v in "xyz")).first()
+    return state.select("idx", *((F.col(v) * (scale / m) if m else F.lit(0.0)).alias(v) for v, m in zip("xyz", ends, strict=True)))

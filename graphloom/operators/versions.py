@@ -161,3 +161,12 @@ def ordered_ops(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """All ops of a diff with their place: node upserts, node deletes, edge upserts, edge deletes."""
     place = F.element_at(F.create_map(*(F.lit(x) for i, k in enumerate(("upsert_node", "delete_node", "upsert_edge", "delete_edge")) for x in (k, i))), F.col("kind"))
     return nodes.unionByName(edges, allowMissingColumns=True).withColumn("place", place)
+
+
+def merge_kind(parents: DataFrame, ours: str, theirs: str) -> tuple[str, str | None]:
+    """What a merge of theirs into ours takes, and the base: up-to-date, fast-forward, three-way, or unrelated (an empty base)."""
+    best = common_ancestor(parents, ours, theirs).first()
+    if best is None:
+        return "unrelated", None
+    base = best["commit"]
+    return ("up-to-date" if base == theirs else "fast-forward" if base == ours else "three-way"), base

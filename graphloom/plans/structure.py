@@ -11,7 +11,7 @@ from ..functions import numeric, text
 from ..graph import Graph, build, integrity
 from ..operators import analytics as A
 from ..operators import filters, generators, layout, lens, partition, search, versions
-from ..sources import links, notes
+from ..sources import bundles, files, links, notes
 from ..streaming import snapshots
 from .queries import G, _t, query, users
 
@@ -369,3 +369,30 @@ def graph_star(spark, d):
 def layout_angles(spark, d):
     g = generators.grid(spark, 20, 20)
     return layout.angles(g, layout.grid(g.nodes, 400)).select("centre", "a", "b", F.round(F.col("angle") * 180 / math.pi, 6).alias("degrees"))
+
+
+@query(f"WITH {G}, k AS (SELECT src AS idx, count(*) AS n FROM adj GROUP BY 1), a AS (SELECT n.idx, coalesce(k.n, 0) AS size FROM n LEFT JOIN k USING (idx)) SELECT idx, sum(size) OVER (ORDER BY idx)::BIGINT - size AS start, size FROM a")
+def sink_csr_rows(spark, d):
+    return files.csr_rows(users(spark, d)).select("idx", "start", F.size("targets").cast("long").alias("size"))
+
+
+@query("SELECT s_suppkey::VARCHAR AS id, s_name AS title, 's' || s_nationkey AS kind, s_acctbal::VARCHAR AS balance FROM supplier")
+def source_records(spark, d):
+    """Suppliers written as lines and read back."""
+    s, text_of = _t(spark, d, "supplier"), lambda c: F.col(c).cast("string")
+    line = F.concat_ws("|", F.lit("N"), text_of("s_suppkey"), F.col("s_name"), F.concat(F.lit("s"), text_of("s_nationkey")), F.lit(""), F.concat(F.lit("balance="), text_of("s_acctbal")))
+    return bundles.records(s.select(line.alias("value")))[0].select("id", "title", "kind", F.col("properties")["balance"].alias("balance"))
+
+
+@query("SELECT 'p/' || p_partkey AS src, 'p/' || (p_partkey + 1) AS dst FROM part WHERE p_partkey + 1 IN (SELECT p_partkey FROM part)")
+def source_concepts(spark, d):
+    """Parts as concept files, each with a relative link to the next."""
+    key = F.col("p_partkey").cast("string")
+    body = F.concat(F.lit("---\ntype: part\ntags: [a, b]\n---\nSee [next](./"), (F.col("p_partkey") + 1).cast("string"), F.lit(".md#top)."))
+    files_ = _t(spark, d, "part").select(F.concat(F.lit("p/"), key, F.lit(".md")).alias("path"), body.alias("text"))
+    return bundles.concepts(files_)[1]
+
+
+@query()
+def layout_spectral(spark, d):
+    return layout.spectral(users(spark, d), 5)

@@ -7,9 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..graph import Graph
+from ..plans.tables import settle
+
 
 def read_csv(spark: SparkSession, path: str) -> tuple[str, DataFrame]:
     """("edges" or "nodes", rows): the header decides, further columns are kept as text."""
@@ -77,6 +80,20 @@ def csr_bytes(n: int, edges: list[tuple[int, int]]) -> bytes:
     return b"".join(x.astype("<u4").tobytes() for x in (np.array([n, len(rows)]), offsets, np.array([b for _, b in rows], np.int64)))
 
 
+def csr_rows(g: Graph) -> DataFrame:
+    """idx, start, targets: the symmetric adjacency without self loops, parallel edges kept, as rows of a CSR matrix in index order."""
+    lists = g.adjacency().groupBy(F.col("src").alias("idx")).agg(F.array_sort(F.collect_list("dst")).alias("targets"))
+    rows = settle(g.nodes.select("idx").join(lists, "idx", "left").select("idx", F.coalesce("targets", F.array().cast("array<bigint>")).alias("targets")), "csr")
+    # Starts by blocks of indices: only block sums are added up in one place.
+    block = F.floor(F.col("idx") / 65536)
+    sums = rows.groupBy(block.alias("block")).agg(F.sum(F.size("targets")).alias("n"))
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select("block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    inner = Window.partitionBy("block").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("block", block).withColumn("inner", F.coalesce(F.sum(F.size("targets")).over(inner), F.lit(0)))
+    return placed.join(bases, "block").select("idx", (F.col("base") + F.col("inner")).alias("start"), "targets")
+
+
 def map_items(pages: DataFrame, items: str, fields: dict[str, str], id_field: str = "id") -> DataFrame:
     """Records of JSON pages(page, body): one row per element of the items array; the first of repeated ids stays."""
     rows = pages.select("page", F.posexplode(F.from_json(F.get_json_object("body", "$." + items), "array<variant>")).alias("at", "item"))
