@@ -10,7 +10,8 @@ How it runs: a batch of texts numbers its words; distinct words are shuffled onc
 ids, and come back to their batches. A batch sends its distinct bigrams, with training counts, as sorted blobs to
 buckets (by context; contexts with more tokens than a bucket should hold are split by their second word). A bucket
 sums counts, stores its part of the bigram table, and returns to each batch, in the order that it was sent, the
-totals and the statistics of its contexts; sums of split contexts are added up apart (at most SPLIT rows).
+totals and the statistics of its contexts; sums of split contexts are added up apart (at most SPLIT rows). A learnt
+context that stands before unknown words only in its batch has no bigram to send and asks for its statistics alone.
 
 Defined cases: null text counts as empty (its end only); a null doc_id is neither held out nor learnt from; repeated
 rows are learnt from and scored each; without training documents everything is unknown; further columns are ignored;
@@ -48,11 +49,11 @@ def unpack(data: bytes) -> bytes:
 
 
 @tidied
-def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _number(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     number = TaskContext.get().partitionId() << 32
-    for batch in text_batches(batches, "text", BATCH):
+    for batch in text_batches(batches, "text", limit):
         words: dict[bytes, int] = defaultdict()
         words.default_factory = words.__len__
         end = words[END.encode()]
@@ -100,8 +101,9 @@ class Keys:
     """Exact 64-bit keys of pairs of word ids, within a bucket."""
 
     def __init__(self, buckets: int, size: int, limit: float):
-        self.buckets, self.size, self.limit = np.uint64(buckets), np.uint64(max(size, 1)), limit
-        if 2 * (size // buckets + 1) * size >= 1 << 64:
+        self.none = np.uint64(size)  # after all words: what a question about a context alone has as its second word
+        self.buckets, self.size, self.limit = np.uint64(buckets), np.uint64(size + 1), limit
+        if 2 * (size // buckets + 1) * (size + 1) >= 1 << 64:
             raise ValueError(f"{size} words need more than {buckets} buckets")
 
     def make(self, h: np.ndarray, w: np.ndarray, ch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +117,7 @@ class Keys:
 
 
 def _batch_grams(row: dict, keys: Keys, places: bool):
-    """The batch's distinct bigrams h, w of word places, how often they are learnt, and those of known words with bucket and key, sorted; at: the bigram of each token, if places are asked for."""
+    """The batch's distinct bigrams h, w of word places, how often they are learnt, and those of known words, or one for each known context without such a bigram, with bucket and key, sorted; at: the bigram of each token, if places are asked for."""
     codes = np.frombuffer(unpack(row["codes"]), "<u4")
     ids, c = (np.frombuffer(unpack(row[k]), "<u8") for k in ("ids", "word_counts"))
     sizes, roles = np.frombuffer(row["sizes"], "<u4").astype(np.int64), np.frombuffer(row["roles"], np.uint8)
@@ -132,7 +134,13 @@ def _batch_grams(row: dict, keys: Keys, places: bool):
     seen[np.searchsorted(pair, learnt)] = times
     del learnt, times, pair
     known = np.flatnonzero((c[h] > 0) & (c[w] > 0))
-    bucket, key = keys.make(ids[h[known]], ids[w[known]], c[h[known]])
+    alone = (c > 0) & (c <= keys.limit)  # statistics of larger contexts reach all batches
+    alone[h[known]] = False
+    rest = np.flatnonzero(alone[h])
+    rest = rest[np.unique(h[rest], return_index=True)[1]]
+    second = np.concatenate([ids[w[known]], np.full(len(rest), keys.none, np.uint64)])
+    known = np.concatenate([known, rest])
+    bucket, key = keys.make(ids[h[known]], second, c[h[known]])
     order = np.lexsort((key, bucket))
     return codes, c, sizes, roles, at, h, w, seen, known[order], bucket[order], key[order]
 
@@ -253,12 +261,12 @@ def _score(coded: pd.DataFrame, back: pd.DataFrame, keys: Keys, model: Backoff,
     return pd.DataFrame({"doc_id": pd.array(row["doc_ids"], "Int64"), "held_out": roles == 1, "n_tokens": sizes, "n_known": by_doc((ch[codes] > 0).astype(np.int64)), "base_score": by_doc(plain[codes]), "score": by_doc(gram[at])})
 
 
-def score_documents(docs: DataFrame, role, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
+def score_documents(docs: DataFrame, role, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, batch: int = BATCH) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. role: 0 learn, 1 held out, 2 neither."""
     sc = docs.sparkSession.sparkContext
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"), role.cast("int").alias("role"))
     buckets = buckets or buckets_for(rows, "text", BUCKET)
-    numbered = settle(rows.mapInArrow(_number, "batch bigint, doc_ids array<bigint>, roles binary, sizes binary, codes binary, words array<binary>, counts array<int>"), "numbered")
+    numbered = settle(rows.mapInArrow(lambda it: _number(it, batch), "batch bigint, doc_ids array<bigint>, roles binary, sizes binary, codes binary, words array<binary>, counts array<int>"), "numbered")
     words = numbered.select("batch", F.posexplode(F.arrays_zip("words", "counts")).alias("code", "x")).select("batch", "code", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
     # Dense ids: place within a partition of the stored table, after the words of earlier partitions.
     vocab = settle(words.groupBy("word").agg(F.sum("n").alias("c")).withColumn("place", F.monotonically_increasing_id()), "vocabulary")

@@ -166,6 +166,20 @@ def test_op2_katz(spark, folder, docs, buckets):
         assert a[5:] == pytest.approx(b[5:], rel=1e-9)
 
 
+def test_op2_contexts_before_unknown_words_only(spark):
+    from graphloom.llm import katz
+
+    held_out = [d for d in range(60) if zlib.crc32(str(d).encode()) % 5 == 1]
+    texts = ["the bright stone walks", "bright stone under the tree", "house under water", "stone zug1", "bright zug2 stone zug3 zug4", "tree", "water zug5 the zug6 house zug7 runs"]
+    rows = [(d, texts[3 + d % 4] if d in held_out else f"{texts[d % 3]} w{d}") for d in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    got = katz.score_documents(frame, F.when(fold == 1, 1).otherwise(0), batch=1).collect()  # one document per batch
+    for a, b in zip(sorted(map(tuple, got)), sorted(_katz(rows)), strict=True):
+        assert a[:5] == b[:5]
+        assert a[5:] == pytest.approx(b[5:], rel=1e-9)
+
+
 def test_op4_packing(spark, folder, docs, tokenizer):
     got = _run(spark, folder, "op4")
     want = Counter()
