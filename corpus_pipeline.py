@@ -4,7 +4,10 @@ Each stage takes what the one before kept, written as Parquet and read again; al
 `documents`. Stages drop documents without letters (language ID), all but one of equal texts, all but one of each
 group of near copies; secrets are replaced by a mark; the last stage gives token pieces with their place in sequences.
 
-Defined cases are those of the operators; of repeated rows with the same doc_id and text one stays.
+Defined cases are those of the operators; of repeated rows with the same doc_id and text one stays. Rows are told apart
+by 64-bit hashes of doc_id and text, so different texts that share a doc_id, or have none, are different documents; a
+row without a doc_id stays only where its group has no other, and of rows that share one the hash decides. Two groups
+could be taken for one by chance of about n^2 / 2^65 in n rows.
 """
 
 from __future__ import annotations
@@ -27,21 +30,31 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.predict(docs, sample, COLUMNS).filter("lang_pred <> 'und'").select(*COLUMNS)
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """One row of docs for each distinct doc_id of kept."""
-    one = Window.partitionBy("doc_id").orderBy("text")
-    rows = docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi")
-    return rows.withColumn("_r", F.row_number().over(one)).filter("_r = 1").select(*COLUMNS)
+def _named(docs: DataFrame) -> DataFrame:
+    """docs with a hash of doc_id and text: doc_id may be null, or shared by different texts."""
+    return docs.withColumn("row", F.xxhash64("doc_id", "text"))
+
+
+def _only(rows: DataFrame, groups: DataFrame, choice) -> DataFrame:
+    """Of each group (row, of) the row that choice, an aggregate of struct(..., row), takes."""
+    ids = rows.select("row", "doc_id").distinct()
+    kept = groups.distinct().join(ids, "row").groupBy("of").agg(choice.alias("best")).select("best.row")
+    one = Window.partitionBy("row", "doc_id", "text").orderBy("lang", "source", "n_chars")
+    return rows.join(kept, "row", "left_semi").withColumn("_r", F.row_number().over(one)).filter("_r = 1").select(*COLUMNS)
 
 
 def equal_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts equal but for the case of A-Z the document with the largest doc_id stays."""
-    return _only(docs, exact_dedup.exact_dedup(docs).filter("kept"))
+    rows = _named(docs)
+    groups = exact_dedup.exact_dedup(rows, "row").select(F.col("doc_id").alias("row"), F.col("keep_id").alias("of"))
+    return _only(rows, groups, F.max(F.struct("doc_id", "row")))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by shingle similarity the one with the smallest doc_id stays."""
-    return _only(docs, ngram_join.ngram_components(docs).filter("doc_id <=> component_id"))
+    rows = _named(docs)
+    groups = ngram_join.ngram_components(rows, "row").select(F.col("doc_id").alias("row"), F.col("component_id").alias("of"))
+    return _only(rows, groups, F.min(F.struct(F.isnull("doc_id"), "doc_id", "row")))
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

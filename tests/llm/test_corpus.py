@@ -474,6 +474,21 @@ def test_components_of_paths_and_stars(spark):
     assert got == {**{i: 0 for i in range(61)}, **{k: 100 for k in range(100, 140)}, 200: 200, 201: 200}
 
 
+def test_pipeline_null_and_shared_ids(spark):
+    import corpus_pipeline as p
+
+    text = lambda k, n=30: " ".join(f"w{k}x{i}" for i in range(n))
+    near = lambda k: text(k, 29) + " other"
+    rows = [(None, text(1)), (None, text(2)), (None, text(2).upper()), (7, text(3)), (7, text(4)), (7, text(4)), (8, text(4).upper()), (None, text(3)), (5, text(5)), (5, near(5)), (9, text(6)), (None, near(6)), (None, text(7)), (None, near(7)), (4, near(8)), (7, text(8))]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], SCHEMA).repartition(3)
+    equal = Counter((r.doc_id, r.text.lower()) for r in p.equal_texts(spark, docs, "").collect())
+    assert equal == Counter([(None, text(1)), (None, text(2)), (7, text(3)), (8, text(4)), (5, text(5)), (5, near(5)), (9, text(6)), (None, near(6)), (None, text(7)), (None, near(7)), (4, near(8)), (7, text(8))])
+    out = p.near_copies(spark, p.equal_texts(spark, docs, ""), "").collect()
+    left = Counter((r.doc_id, r.text.lower()) for r in out)
+    assert sum(left.values()) == 8 and {(None, text(1)), (None, text(2)), (7, text(3)), (8, text(4)), (9, text(6)), (4, near(8))} < set(left)
+    assert len({(5, text(5)), (5, near(5))} & set(left)) == len({(None, text(7)), (None, near(7))} & set(left)) == 1
+
+
 def test_pipeline(spark, folder, docs):
     import corpus_pipeline as p
 
