@@ -7,7 +7,8 @@ least wins, and the score is one less its ratio to the second. Texts are parsed
 windows of a batch and all languages in step.
 
 The model is fitted on a bounded sample: at most SAMPLE_SYMBOLS symbols over all languages, from labelled rows with the
-least text hashes of each language, PIECE code points of each; every text is predicted whole.
+least hashes of each language, PIECE code points of each and equal ones once, so that no piece held back is a copy of
+a learnt one; every text is predicted whole.
 
 Defined cases: `und` with score 0 for null, empty and letterless texts; a text in unknown letters gets the first
 language by name at score 0; ties go to the first name; repeated rows get the same result each; without labelled rows
@@ -94,6 +95,8 @@ class Model:
         letters = letters[: 256 - FIRST]
         self.kinds = kinds_of(letters)
         size = FIRST + len(letters)
+        # Pieces that differ in case or between letters only are copies too.
+        sample = {lang: list({symbols(t, self.kinds).tobytes(): t for t in reversed(texts)}.values())[::-1] for lang, texts in sample.items()}
         tables, self.starts, base, self.rate = [], [], 0, np.ones(len(self.langs))
         for lang in self.langs:
             kept = [t for i, t in enumerate(sample[lang]) if i % HELD_BACK or len(sample[lang]) < 2]
@@ -162,9 +165,10 @@ def fit_sample(labelled: DataFrame) -> dict[str, list[str]]:
     rows = labelled.filter("lang is not null and length(text) > 0")
     langs = rows.agg(F.approx_count_distinct("lang")).first()[0]
     each = max(2, SAMPLE_SYMBOLS // PIECE // max(1, langs))
-    first = Window.partitionBy("lang").orderBy("h", "piece")
-    pieces = rows.select("lang", F.xxhash64("text").alias("h"), F.left("text", F.lit(PIECE)).alias("piece"))
-    chosen = pieces.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= each).collect()  # each per language
+    first = Window.partitionBy("lang").orderBy("h")
+    pieces = rows.select("lang", F.left("text", F.lit(PIECE)).alias("piece")).withColumn("h", F.xxhash64(F.lower("piece")))
+    least = pieces.select("lang", "h").distinct().withColumn("n", F.row_number().over(first)).filter(F.col("n") <= each)
+    chosen = pieces.join(F.broadcast(least), ["lang", "h"]).groupBy("lang", "n").agg(F.min("piece").alias("piece")).collect()  # each per language
     sample: dict[str, list[str]] = {}
     for r in sorted(chosen, key=lambda r: (r["lang"], r["n"])):
         sample.setdefault(r["lang"], []).append(r["piece"])

@@ -323,6 +323,17 @@ def test_cross_parsing_counts_longest_matches():
     assert GAP in own
 
 
+def test_op7_copies_take_one_place_in_the_sample(spark):
+    from graphloom.llm.langid import Model, fit_sample
+
+    plain = [(lang, " ".join(f"{lang}{(k * 7 + i * i) % 23}" for i in range(40)) + f" {lang} {chr(97 + k % 26) * (k // 26 + 1)}") for lang in ("en", "de") for k in range(120)]
+    sample = fit_sample(spark.createDataFrame(plain, "lang string, text string"))
+    copied = [("en", t) for t in (sample["en"][0], sample["en"][0].upper()) for _ in range(60)]  # the least hash
+    assert {k: [t.lower() for t in v] for k, v in fit_sample(spark.createDataFrame(plain + copied, "lang string, text string")).items()} == {k: [t.lower() for t in v] for k, v in sample.items()}
+    again = {"en": [sample["en"][0]] * 8 + [sample["en"][0].upper()] + sample["en"][1:], "de": sample["de"]}
+    assert Model(again).rate.tolist() == Model(sample).rate.tolist()
+
+
 def test_op7_held_out_accuracy(spark):
     rows = queries.op7_cross_parsing(spark, "/root/testdata/sf0.01").filter("held_out").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", F.length("text").alias("n")), "doc_id").filter("n >= 200").collect()
     assert sum(r.lang == r.lang_pred for r in rows) > 0.9 * len(rows)
