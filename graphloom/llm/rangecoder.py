@@ -1,281 +1,133 @@
-"""Adaptive context-mixing range coder for token ids, many independent blocks in step.
+"""Token ids on disk, coded by an adaptive context-mixing range coder in independent, checksummed blocks.
 
-A block is a fixed number of ids with models of its own, reset at its start, and a checksum of its ids. Of each id the
-coder first codes a slot: the id that followed the last two ids here before (order 2), the id that followed the last
-one (order 1), or else the class of the id by its magnitude (order 0), whose remaining bits follow plainly. The slot's
-frequencies are the sum of two adaptive models, one that sees how far the order-2 and order-1 predictions have proved
-right and whether they agree, one that sees the slot of the id before. NumPy runs one step of all blocks at a time;
-coder and decoder share that step.
+The coder (IdMixer.java) mixes order-0 to order-2 predictions of each id and drives binary and multi-symbol range coding
+with them; a coder is a loop over ids with tables that change at each, which neither DataFrame functions nor NumPy
+express well, so it is a user-defined function in the JVM, compiled from its source by the compiler that comes with
+Spark and shipped to executors as a jar.
 
-File: stripes, each a header, the compressed index (doc ids and lengths), the block table (ids, words, crc32) and the
-blocks' 32-bit words. Blocks can be decoded alone.
+File: a folder of Parquet files, each part in ascending doc_id order and the parts in ascending order too. A row is a
+stripe of whole documents, about 65,536 ids: part, nth (its place in the part), before and n (ids of the part before it,
+and its own), doc_ids, offsets (ids of the stripe before each document) and data: a table of blocks of about 65,536
+ids with their lengths and crc32, and the blocks. A block starts from nothing and can be decoded alone; one that
+differs from its checksum raises. Documents longer than a block lie in several blocks of one stripe.
 
 Defined cases: null text counts as empty (its end id only); repeated rows are written each, in any order among
-themselves; a null doc_id comes first; further columns are ignored; an empty table gives no file.
+themselves; a null doc_id comes first; further columns are ignored; an empty table gives no stripe.
 """
 
 from __future__ import annotations
 
-import struct
-import uuid
-import zlib
+import io
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import buckets_for, fresh, settle, text_batches, text_or_empty, tidied
+from .common import buckets_for, fresh, text_batches, text_or_empty, tidied
 from .tokens import json_encoder, vocabulary
 
-BLOCK, STRIPE, END_ID = 8192, 12 << 20, 2
-MAGIC = b"GLRC1\0\0\0"
-#: Slots of predictions, plain bits of the lowest class, size of the context tables, weight of an event, where a model is halved.
-HITS, LOW_BITS, TABLE_BITS, STEP, FULL = 2, 7, 12, 24, 6000
-_64, _32 = np.uint64, np.uint32
-
-
-class _Models:
-    """The adaptive state of n blocks."""
-
-    def __init__(self, n: int, classes: int):
-        self.n, self.slots = n, HITS + classes
-        self.lane = np.arange(n, dtype=np.int64)
-        self.sure = np.ones((n * 32, self.slots), _32)  # by confidence in both predictions and their agreement
-        self.after = np.ones((n * self.slots, self.slots), _32)  # by the slot before
-        self.one, self.two = np.zeros(n << TABLE_BITS, _32), np.zeros(n << TABLE_BITS, _32)  # id * 4 + confidence
-        self.last, self.last2, self.slot = np.zeros(n, _32), np.zeros(n, _32), np.zeros(n, np.int64)
-
-    def predict(self, m: int):
-        """For the first m blocks: places in the tables, both predicted ids, slot frequencies and their sums."""
-        self.m = m
-        base = self.lane[:m] << TABLE_BITS
-        a, b = self.last[:m], self.last2[:m]
-        self.at1 = base + ((a * _32(0x9E3779B1)) >> _32(32 - TABLE_BITS))
-        self.at2 = base + (((a * _32(0x85EBCA6B)) ^ (b * _32(0xC2B2AE35))) * _32(0x27D4EB2F) >> _32(32 - TABLE_BITS))
-        self.e1, self.e2 = self.one[self.at1], self.two[self.at2]
-        self.p1, self.p2 = self.e1 >> _32(2), self.e2 >> _32(2)
-        state = ((self.e2 & _32(3)) << _32(3)) | ((self.e1 & _32(3)) << _32(1)) | (self.p1 == self.p2)
-        self.row1 = (self.lane[:m] << 5) + state
-        self.row2 = self.lane[:m] * self.slots + self.slot[:m]
-        freq = self.sure[self.row1] + self.after[self.row2]
-        return freq, freq.cumsum(axis=1, dtype=_32)
-
-    def learn(self, slot: np.ndarray, ids: np.ndarray) -> None:
-        m = self.m
-        for model, row in ((self.sure, self.row1), (self.after, self.row2)):
-            model[row, slot] += _32(STEP)
-            full = np.flatnonzero(model[row, slot] > FULL)
-            if len(full):
-                model[row[full]] = (model[row[full]] >> _32(1)) | _32(1)
-        for table, at, held, guess in ((self.one, self.at1, self.e1, self.p1), (self.two, self.at2, self.e2, self.p2)):
-            sure = held & _32(3)
-            right = np.minimum(sure + _32(1), _32(3)) | (guess << _32(2))
-            wrong = np.where(sure > 1, held - _32(1), (ids << _32(2)) | _32(1))
-            table[at] = np.where(guess == ids, right, wrong)
-        self.last2[:m], self.last[:m], self.slot[:m] = self.last[:m], ids, slot
-
-
-def _class(ids: np.ndarray) -> np.ndarray:
-    """Bit length of the id above its plain bits."""
-    return np.frexp((ids >> _32(LOW_BITS)).astype(np.float64))[1].astype(np.int64)
-
-
-def _classes(limit: int) -> int:
-    return int(limit >> LOW_BITS).bit_length() + 1
-
-
-def _lanes(total: int) -> list[int]:
-    return [min(BLOCK, total - i) for i in range(0, total, BLOCK)]
-
-
-def encode_blocks(ids: np.ndarray, limit: int) -> list[np.ndarray]:
-    """32-bit words of each block of ids (all below limit)."""
-    sizes = _lanes(len(ids))
-    n = len(sizes)
-    grid = np.zeros(n * BLOCK, _32)
-    grid[: len(ids)] = ids
-    grid = np.ascontiguousarray(grid.reshape(n, BLOCK).T)
-    models = _Models(n, _classes(limit))
-    low, width = np.zeros(n, _64), np.full(n, ~_64(0))
-    out, used = np.zeros((n, 1024), _32), np.zeros(n, np.int64)
-    rows = np.arange(n)
-    for t in range(sizes[0] if n else 0):
-        m = n if t < sizes[-1] else n - 1
-        x, pick = grid[t, :m], rows[:m]
-        freq, sums = models.predict(m)
-        kind = _class(x)
-        slot = np.where(models.p2 == x, 0, np.where(models.p1 == x, 1, kind + HITS))
-        own = freq[pick, slot]
-        w = width[:m] // sums[:, -1]
-        lo = low[:m] + w * (sums[pick, slot] - own)
-        w *= own
-        plain = np.where(slot < HITS, 0, LOW_BITS + np.maximum(kind - 1, 0)).astype(_64)
-        w >>= plain
-        lo += w * (x.astype(_64) & ((_64(1) << plain) - _64(1)))
-        small = np.flatnonzero(w < _64(1 << 32))
-        if len(small):
-            l, r = lo[small], w[small]
-            out[small, used[small]] = (l >> _64(32)).astype(_32)
-            used[small] += 1
-            l &= _64(0xFFFFFFFF)
-            w[small] = np.minimum(r, _64(1 << 32) - l) << _64(32)
-            lo[small] = l << _64(32)
-            if used.max() >= out.shape[1] - 2:
-                out = np.concatenate([out, np.zeros_like(out)], axis=1)
-        low[:m], width[:m] = lo, w
-        models.learn(slot, x)
-    for shift in (32, 0):
-        out[rows, used] = (low >> _64(shift)).astype(_32)
-        used += 1
-    return [out[i, : used[i]] for i in range(n)]
+#: Ids of a stripe, at least; the end id; ids are below the limit. Bytes of text of a part, and the most parts.
+STRIPE, END_ID, LIMIT, PART, PARTS = 1 << 16, 2, 50_257, 24 << 20, 100_000
+
+_STRIPES = pa.schema([
+    ("part", pa.int32()), ("nth", pa.int64()), ("before", pa.int64()), ("n", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("ids", pa.binary())
+])
+
+
+def _classes(spark: SparkSession) -> dict:
+    """The coder's classes, loaded in the driver and known to all executors; compiled once for a Spark context."""
+    sc = spark.sparkContext
+    if not hasattr(sc, "_graphloom_ids"):
+        jvm = sc._jvm
+        compiler = jvm.org.codehaus.janino.SimpleCompiler()
+        compiler.cook(Path(__file__).with_name("IdMixer.java").read_text())
+        code, jar = compiler.getBytecodes(), io.BytesIO()
+        with zipfile.ZipFile(jar, "w") as z:
+            for name in code:
+                z.writestr(name.replace(".", "/") + ".class", bytes(code[name]))
+        path = jvm.org.apache.hadoop.fs.Path(fresh(spark, "coder") + ".jar")
+        out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path)
+        out.write(jar.getvalue())
+        out.close()
+        spark.sql(f"ADD JAR '{path.toString()}'")
+        loader = jvm.Thread.currentThread().getContextClassLoader()
+        sc._graphloom_ids = {k: loader.loadClass(f"graphloom.{k}") for k in ("EncodeIds", "DecodeIds")}
+    return sc._graphloom_ids
 
 
-def decode_blocks(words: list[np.ndarray], sizes: list[int], limit: int) -> list[np.ndarray]:
-    """Ids of each block; all blocks but the last have the same number of ids."""
-    n = len(sizes)
-    if not n:
-        return []
-    lens = np.array([len(x) for x in words], np.int64)
-    flat = np.concatenate([*words, np.zeros(2, _32)]).astype(_64)
-    at = np.cumsum(lens) - lens
-    low, width = np.zeros(n, _64), np.full(n, ~_64(0))
-    above = (flat[at] << _64(32)) | flat[at + 1]  # the code's distance to low
-    at += 2
-    models = _Models(n, _classes(limit))
-    grid = np.zeros((max(sizes), n), _32)
-    rows = np.arange(n)
-    for t in range(sizes[0]):
-        m = n if t < sizes[-1] else n - 1
-        pick = rows[:m]
-        freq, sums = models.predict(m)
-        w, rest = width[:m] // sums[:, -1], above[:m]
-        slot = (sums <= np.minimum(rest // w, sums[:, -1] - _32(1))[:, None]).sum(axis=1)
-        own = freq[pick, slot]
-        skip = w * (sums[pick, slot] - own)
-        w *= own
-        kind = slot - HITS
-        bits = np.where(slot < HITS, 0, LOW_BITS + np.maximum(kind - 1, 0)).astype(_64)
-        w >>= bits
-        plain = np.minimum((rest - skip) // w, (_64(1) << bits) - _64(1))
-        skip += w * plain
-        rest, lo = rest - skip, low[:m] + skip
-        high = np.where(kind > 0, _64(1) << bits, _64(0))
-        x = np.where(slot == 0, models.p2, np.where(slot == 1, models.p1, (high + plain).astype(_32)))
-        small = np.flatnonzero(w < _64(1 << 32))
-        if len(small):
-            l = lo[small] & _64(0xFFFFFFFF)
-            w[small] = np.minimum(w[small], _64(1 << 32) - l) << _64(32)
-            lo[small] = l << _64(32)
-            rest[small] = (rest[small] << _64(32)) | flat[at[small]]
-            at[small] += 1
-        grid[t, :m] = x
-        low[:m], width[:m], above[:m] = lo, w, rest
-        models.learn(slot, x)
-    grid = np.ascontiguousarray(grid.T)
-    return [grid[i, :k] for i, k in enumerate(sizes)]
+def _call(spark: SparkSession, kind: str, result: str, *args: Column) -> Column:
+    gateway, jvm = spark.sparkContext._gateway, spark.sparkContext._jvm
+    made = _classes(spark)[kind].getDeclaredConstructor(gateway.new_array(jvm.Class, 0)).newInstance(gateway.new_array(jvm.Object, 0))
+    spark._jsparkSession.udf().register(f"graphloom_{kind}", made, jvm.org.apache.spark.sql.types.DataType.fromDDL(result))
+    return F.call_function(f"graphloom_{kind}", *args)
 
 
-def pack_stripe(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray, limit: int) -> bytes:
-    blocks, sizes = encode_blocks(ids, limit), _lanes(len(ids))
-    known = np.array([x is not None for x in doc_ids], np.uint8)
-    keys = np.diff(np.array([x or 0 for x in doc_ids], "<i8"), prepend=0).astype("<i8")
-    index = zlib.compress(known.tobytes() + keys.tobytes() + counts.astype("<u4").tobytes())
-    at = range(0, len(ids), BLOCK)
-    table = np.array([(n, len(b), zlib.crc32(ids[i : i + n].astype("<u4").tobytes())) for i, n, b in zip(at, sizes, blocks, strict=True)], "<u4")
-    head = struct.pack("<8sIIII", MAGIC, limit, len(doc_ids), len(index), len(blocks))
-    return b"".join([head, index, table.tobytes(), *(b.astype("<u4").tobytes() for b in blocks)])
+def encoded(spark: SparkSession, ids: Column, limit: int) -> Column:
+    """A stripe of ids (little-endian, 32 bits, below limit)."""
+    return _call(spark, "EncodeIds", "binary", ids, F.lit(limit))
 
 
-def unpack_stripe(read) -> tuple[list[int | None], np.ndarray, np.ndarray] | None:
-    """The next stripe's doc ids, lengths and ids; None at the end of the file. Raises if a block fails its checksum."""
-    if not (head := read(24)):
-        return None
-    magic, limit, docs, size, n = struct.unpack("<8sIIII", head)
-    if magic != MAGIC:
-        raise ValueError("not a stripe of token ids")
-    index = zlib.decompress(read(size))
-    known = np.frombuffer(index, np.uint8, docs)
-    keys, counts = np.cumsum(np.frombuffer(index, "<i8", docs, docs)), np.frombuffer(index, "<u4", docs, 9 * docs)
-    table = np.frombuffer(read(12 * n), "<u4").reshape(n, 3)
-    blocks = decode_blocks([np.frombuffer(read(4 * k), "<u4") for k in table[:, 1].tolist()], table[:, 0].tolist(), limit)
-    for block, want in zip(blocks, table[:, 2].tolist(), strict=True):
-        if zlib.crc32(block.astype("<u4").tobytes()) != want:
-            raise ValueError("a block of token ids fails its checksum")
-    return [k if ok else None for k, ok in zip(keys.tolist(), known.tolist(), strict=True)], counts.astype(np.int64), np.concatenate([*blocks, np.zeros(0, _32)])
+def decoded(spark: SparkSession, data: Column, offsets: Column) -> Column:
+    """The ids of each document of a stripe, whose first ids are at the offsets."""
+    return _call(spark, "DecodeIds", "array<binary>", data, offsets)
 
 
 @tidied
-def _write(batches: Iterator[pa.RecordBatch], folder: str, vocab, end_id: int, limit: int) -> Iterator[pa.RecordBatch]:
+def _stripes(batches: Iterator[pa.RecordBatch], vocab, end_id: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    fs, root = pyarrow.fs.FileSystem.from_uri(folder)
+    part, nth, before = TaskContext.get().partitionId(), 0, 0
     encoder = json_encoder(vocab.value.decode())
-    path = f"{root}/{uuid.uuid4().hex}.tok"  # new in each attempt: a file counts only once its task has listed it
     held: list[tuple[list, np.ndarray, np.ndarray]] = []
-    tokens, waiting, out = 0, 0, None
+    waiting = 0
 
-    def flush():
-        nonlocal out, held, waiting
-        if held:
-            out = out or fs.open_output_stream(path, compression=None)
-            out.write(pack_stripe([x for d, _, _ in held for x in d], np.concatenate([c for _, c, _ in held]), np.concatenate([i for _, _, i in held]), limit))
-            held, waiting = [], 0
+    def stripe() -> pa.RecordBatch:
+        counts = np.concatenate([c for _, c, _ in held])
+        row = part, nth, before, waiting, [x for d, _, _ in held for x in d], np.cumsum(counts) - counts, np.concatenate([i for _, _, i in held]).astype("<u4").tobytes()
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _STRIPES.types, strict=True)], schema=_STRIPES)
 
     for batch in text_batches(batches, "text", 3 << 20):
+        doc_ids = batch.column("doc_id").to_pylist()
         ids, counts = encoder.encode(batch.column("text").to_pylist())
-        ids = np.insert(ids, np.cumsum(counts), end_id)
-        held.append((batch.column("doc_id").to_pylist(), counts + 1, ids))
-        tokens, waiting = tokens + len(ids), waiting + len(ids)
-        if waiting >= STRIPE:
-            flush()
-    flush()
-    if out:
-        out.close()
-        yield pa.RecordBatch.from_pydict({"path": [path], "part": [TaskContext.get().partitionId()], "tokens": [tokens]}, pa.schema([("path", pa.string()), ("part", pa.int32()), ("tokens", pa.int64())]))
-
-
-@tidied
-def _read(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
-    fs, _ = pyarrow.fs.FileSystem.from_uri(folder)
-    names = ["doc_id", "start", "n_tokens", "ids"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    for batch in batches:
-        for row in batch.to_pylist():
-            start = row["base"]
-            with fs.open_input_stream(row["path"], compression=None) as f:
-                while stripe := unpack_stripe(f.read):
-                    doc_ids, counts, ids = stripe
-                    ends = np.cumsum(counts)
-                    data = ids.astype("<u4").tobytes()
-                    for i in range(0, len(doc_ids), 2000):
-                        part = slice(i, i + 2000)
-                        e, n = ends[part], counts[part]
-                        columns = doc_ids[part], start + e - n, n, [data[4 * (a - b) : 4 * a] for a, b in zip(e.tolist(), n.tolist(), strict=True)]
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
-                    start += len(ids)
-
-
-def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = END_ID, limit: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write the ids in ascending doc_id order; returns the table of (path, base), base being the ids in earlier files."""
-    vocab = vocabulary(docs.sparkSession, path)
+        ids, counts = np.insert(ids, np.cumsum(counts), end_id), counts + 1
+        ends, at = np.cumsum(counts), 0
+        while at < len(counts):
+            begin = int(ends[at] - counts[at])
+            to = min(len(counts), int(np.searchsorted(ends, begin + STRIPE - waiting)) + 1)
+            held.append((doc_ids[at:to], counts[at:to], ids[begin : ends[to - 1]]))
+            waiting, at = waiting + int(ends[to - 1]) - begin, to
+            if waiting >= STRIPE:
+                yield stripe()
+                nth, before, held, waiting = nth + 1, before + waiting, [], 0
+    if held:
+        yield stripe()
+
+
+def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = END_ID, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Write the ids of all documents, in ascending doc_id order, to a new folder."""
+    spark = docs.sparkSession
+    vocab = vocabulary(spark, path)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    ordered = rows.repartitionByRange(buckets_for(rows, "text", 32 << 20), "doc_id").sortWithinPartitions("doc_id")
-    manifest = settle(ordered.mapInArrow(lambda it: _write(it, folder, vocab, end_id, limit), "path string, part int, tokens bigint"), "token-manifest")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
-    return manifest.select("path", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
+    ordered = rows.repartitionByRange(min(PARTS, buckets_for(rows, "text", PART)), "doc_id").sortWithinPartitions("doc_id")
+    stripes = ordered.mapInArrow(lambda it: _stripes(it, vocab, end_id), "part int, nth bigint, before bigint, n bigint, doc_ids array<bigint>, offsets array<bigint>, ids binary")
+    stripes.withColumn("data", encoded(spark, F.col("ids"), limit)).drop("ids").write.option("compression", "uncompressed").parquet(folder)
 
 
-def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
-    """Per document: doc_id, start, n_tokens, ids (little-endian unsigned 32-bit)."""
-    n = max(1, manifest.count())
-    return manifest.repartition(min(n, 100_000), "path").mapInArrow(lambda it: _read(it, folder), "doc_id bigint, start bigint, n_tokens bigint, ids binary")
+def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document: doc_id, start (ids of all documents before it), n_tokens, ids (little-endian unsigned 32-bit)."""
+    stripes = spark.read.schema("part int, nth bigint, before bigint, n bigint, doc_ids array<bigint>, offsets array<bigint>, data binary").parquet(folder)
+    parts = stripes.groupBy("part").agg(F.sum("n").alias("own"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per part
+    bases = parts.select("part", F.coalesce(F.sum("own").over(earlier), F.lit(0)).alias("base"))
+    rows = stripes.join(bases, "part").select((F.col("base") + F.col("before")).alias("first"), F.inline(F.arrays_zip("doc_ids", "offsets", decoded(spark, F.col("data"), F.col("offsets")).alias("ids"))))
+    return rows.select(F.col("doc_ids").alias("doc_id"), (F.col("first") + F.col("offsets")).alias("start"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
 
 
 def token_roundtrip(docs: DataFrame, path: str) -> DataFrame:
     folder = fresh(docs.sparkSession, "tokens")
-    fs, root = pyarrow.fs.FileSystem.from_uri(folder)
-    fs.create_dir(root, recursive=True)
-    return read_tokens(write_tokens(docs, path, folder), folder)
+    write_tokens(docs, path, folder)
+    return read_tokens(docs.sparkSession, folder)
