@@ -121,9 +121,9 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """Per document: doc_id, start (ids of all documents before it), n_tokens, ids (little-endian unsigned 32-bit)."""
     stripes = spark.read.schema("part int, nth bigint, before bigint, n bigint, doc_ids array<bigint>, offsets array<bigint>, data binary").parquet(folder)
     parts = stripes.groupBy("part").agg(F.sum("n").alias("own"))
-    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per part
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per part, at most PARTS
     bases = parts.select("part", F.coalesce(F.sum("own").over(earlier), F.lit(0)).alias("base"))
-    rows = stripes.join(bases, "part").select((F.col("base") + F.col("before")).alias("first"), F.inline(F.arrays_zip("doc_ids", "offsets", decoded(spark, F.col("data"), F.col("offsets")).alias("ids"))))
+    rows = stripes.join(F.broadcast(bases), "part").select((F.col("base") + F.col("before")).alias("first"), F.inline(F.arrays_zip("doc_ids", "offsets", decoded(spark, F.col("data"), F.col("offsets")).alias("ids"))))
     return rows.select(F.col("doc_ids").alias("doc_id"), (F.col("first") + F.col("offsets")).alias("start"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
 
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import gc
+import json
 import os
+import re
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 
@@ -12,7 +16,9 @@ from .common import held
 #: White space other than space and newline (with the separators that regex dialects disagree on).
 ODD_SPACE = "\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0                　"
 #: Distinct words that a worker remembers.
-REMEMBER = 250_000
+REMEMBER = 400_000
+#: Latin letters, then ASCII punctuation other than an apostrophe: led by a space, two pre-tokens of byte-level BPE.
+PLAIN = re.compile(r"""([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)""")
 
 
 def splits_at_spaces(text: str) -> bool:
@@ -51,6 +57,13 @@ class WordwiseEncoder:
         """All ids, one text after another, and the number of each text's."""
         if len(self.words) > self.remember:
             self.forget()
+        gc.disable()  # hundreds of thousands of small lists, none in a cycle: looking for cycles took a third of the time
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         codes, sizes, heads = [], [], []  # a text is its head, encoded anew, and numbered words
         for text in texts:
             if splits_at_spaces(text):
@@ -82,8 +95,33 @@ def gather(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray
     return flat[at]
 
 
+def _byte_letters() -> dict[int, str]:
+    """Byte-level BPE's letter for each byte: printable ones stand for themselves, the others for letters from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: chr(b if b in plain else next(others)) for b in range(256)}
+
+
+class _Parts(dict):
+    """Ids of pre-tokens, by the library's model; each is asked for once."""
+
+    def __init__(self, model, lead: str):
+        self.tokenize, self.lead, self.letters = model.tokenize, lead, _byte_letters()
+
+    def __missing__(self, part: str) -> list[int]:
+        if len(self) > REMEMBER:
+            self.clear()
+        own = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+        ids = self[part] = [t.id for t in self.tokenize(self.lead + own)]
+        return ids
+
+
 def json_encoder(vocabulary: str) -> WordwiseEncoder:
-    """This worker's encoder of a vocabulary in the tokenizers library's JSON (its content, not its path)."""
+    """This worker's encoder of a vocabulary in the tokenizers library's JSON (its content, not its path).
+
+    Where the vocabulary is one of byte-level BPE, plain words are cut into their pre-tokens here, and the library's model
+    is asked for each distinct one; all else goes through the library's whole chain.
+    """
 
     def make() -> WordwiseEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -91,16 +129,21 @@ def json_encoder(vocabulary: str) -> WordwiseEncoder:
 
         tokenizer = Tokenizer.from_str(vocabulary)
         tokenizer.encode_special_tokens = True
+        rules = json.loads(vocabulary)
+        cut = rules.get("pre_tokenizer") or {}
+        byte_level = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and not rules.get("normalizer") and rules["model"].get("type", "BPE") == "BPE"
 
         led = np.zeros(tokenizer.get_vocab_size(), bool)  # ids of tokens that begin with a space
         for token, i in tokenizer.get_vocab().items():
             led[i] = token[0] == "\u0120"
+        model = tokenizer.model
+        heads, tails = _Parts(model, "\u0120"), _Parts(model, "")
 
         def encode_many(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             out = [np.array(e.ids, np.uint32) for i in range(0, len(texts), 2000) for e in tokenizer.encode_batch_fast(texts[i : i + 2000], add_special_tokens=False)]
             return np.concatenate([*out, np.zeros(0, np.uint32)]), np.fromiter(map(len, out), np.int64, len(out))
 
-        def encode_words(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        def in_lines(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
             """Many words make one string: each begins a pre-token there, and with it a token that begins with a space."""
             odd = {i for i, w in enumerate(words) if not w or "\n" in w}
             plain = [w for i, w in enumerate(words) if i not in odd] if odd else words
@@ -113,7 +156,25 @@ def json_encoder(vocabulary: str) -> WordwiseEncoder:
             starts = np.append(np.cumsum(lens) - lens, len(ids))[where]
             return np.insert(ids, np.repeat(starts, own), more), np.insert(lens, where, own)
 
-        return WordwiseEncoder(encode_many, encode_words)
+        def encode_words(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            out: list = [None] * len(words)
+            odd = []
+            for i, found in enumerate(map(PLAIN.fullmatch, words)):
+                if found:
+                    head, tail = found.groups()
+                    out[i] = heads[head] + tails[tail] if tail else heads[head]
+                else:
+                    odd.append(i)
+            if odd:
+                ids, lens = in_lines([words[i] for i in odd])
+                flat, at = ids.tolist(), 0
+                for i, n in zip(odd, lens.tolist(), strict=True):
+                    out[i] = flat[at : at + n]
+                    at += n
+            lens = np.fromiter(map(len, out), np.int64, len(out))
+            return np.fromiter(chain.from_iterable(out), np.uint32, int(lens.sum())), lens
+
+        return WordwiseEncoder(encode_many, encode_words if byte_level else in_lines)
 
     return held(("encoder", hash(vocabulary)), make)
 
