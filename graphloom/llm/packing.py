@@ -2,10 +2,11 @@
 
 Documents become token pieces; a piece's length is all that packing looks at, so the plan is made for counts of
 lengths (never more than the capacity has values, whatever the input) and applied to pieces by their rank within
-their length. The reduction takes the longest remaining length w with room r beside it and fixes, as often as counts
-allow, a set that dominates every other set holding w: w alone if nothing fits beside it; w with a piece of exactly r;
-w with the longest piece that fits if no two fit; w with the longest two, if no three fit and no other two are better
-at either place. The remainder is packed by best fit in decreasing order.
+their length. The reduction goes through the lengths w from the longest down, with room r beside it, and fixes, as often
+as counts allow, a set that dominates every other set holding w: w alone if nothing fits beside it; w with a piece of
+exactly r; w with the longest piece that fits if no two fit; w with the longest two, if no three fit and no other two are
+better at either place. A length without such a set is passed over; as fixed sets leave fewer pieces, the lengths are gone
+through again until nothing more is fixed. The remainder is packed by best fit in decreasing order.
 
 Defined cases: null text counts as empty (a piece of the end id only); repeated rows are packed each; a null doc_id is
 kept; further columns are ignored; an empty table gives no piece.
@@ -95,7 +96,7 @@ class _Counts:
 
 
 def dominating(c: _Counts, w: int, capacity: int) -> tuple[int, ...] | None:
-    """A set with w, the longest piece, that dominates every other set with w; None if none of at most three is known to."""
+    """A set with w that dominates every other set with w; None if none of at most three is known to."""
     room = capacity - w
     a = c.longest(room, (w,))
     if a is None:
@@ -116,14 +117,16 @@ def dominating(c: _Counts, w: int, capacity: int) -> tuple[int, ...] | None:
 def reduce_by_dominance(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[Pattern], dict[int, int]]:
     """Fixed sets with how often each is taken, and the counts that remain."""
     c, fixed = _Counts(counts), []
-    while c.order:
-        lengths = dominating(c, c.order[-1], capacity)
-        if lengths is None:
-            break
-        # What makes the set dominate holds until a length of it runs out: others only get fewer.
-        times = c.times(lengths)
-        c.take(lengths, times)
-        fixed.append((lengths, times))
+    again = True
+    while again:
+        again = False
+        for w in sorted(c.n, reverse=True):
+            while w in c.n and (lengths := dominating(c, w, capacity)):
+                # What makes the set dominate holds until a length of it runs out: others only get fewer.
+                times = c.times(lengths)
+                c.take(lengths, times)
+                fixed.append((lengths, times))
+                again = True
     return fixed, dict(c.n)
 
 

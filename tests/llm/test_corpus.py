@@ -261,6 +261,24 @@ def test_packing_plans_are_whole_and_reductions_optimal():
         assert sum(t for _, t in fixed) + (optimum(left, cap) if left else 0) == optimum(items, cap)
 
 
+def test_reduction_goes_on_past_undecided_lengths(spark):
+    """On real lengths much is fixed beside the pieces that fill a sequence."""
+    from graphloom.llm.packing import best_fit, cut_pieces, dominating, plan, reduce_by_dominance, _Counts
+
+    counts = {5: 4, 4: 5, 3: 7, 2: 9, 7: 2}
+    c = _Counts(counts)
+    assert dominating(c, 7, 12) == (7, 5) and dominating(_Counts({6: 1, 4: 2, 3: 3, 1: 5, 9: 1}), 9, 12) == (9, 3)
+    pieces = cut_pieces(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
+    real = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    fixed, rest = reduce_by_dominance(real)
+    whole = real.get(2048, 0)
+    share = sum(len(p) * t for p, t in fixed) / sum(real.values())
+    assert sum(len(p) * t for p, t in fixed) > whole and share > 0.2
+    patterns, _ = plan(real)
+    used, least = sum(t for _, t in patterns), -(-sum(w * n for w, n in real.items()) // 2048)
+    assert least <= used <= min(least + 1, sum(t for _, t in best_fit(real)))
+
+
 def test_op5_warc(spark, folder):
     got = sorted(map(tuple, _run(spark, folder, "op5")), key=str)
     pages = spark.read.parquet(f"{folder}/pages.parquet").collect()
