@@ -58,6 +58,27 @@ def release(spark: SparkSession, *settled: DataFrame) -> None:
     jvm.System.gc()
 
 
+#: A group of more than one row in HOT_SHARE is dealt to SALTS tasks; fewer than HOT_SHARE groups can be that large.
+HOT_SHARE, SALTS = 2000, 32
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, by: str, least: int = 2000) -> DataFrame:
+    """rows joined (inner) with groups, which has one row per key and, in column size, how many rows the key has.
+
+    The rows of a large group go to SALTS tasks, by the hash of column `by`, and the group's row to each of them. Which
+    keys are large is told to all tasks by 64-bit hashes, fewer than HOT_SHARE; a hash that two keys share only salts both.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    limit = max(least, total // HOT_SHARE)
+    hot = [r["h"] for r in groups.filter(F.col(size) > limit).select(F.xxhash64(key).alias("h")).collect()]
+    if not hot:
+        return rows.join(groups, key)
+    is_hot = F.xxhash64(key).isin(hot)
+    salted = rows.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(by), F.lit(SALTS))).otherwise(0).cast("int"))
+    dealt = groups.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return salted.join(dealt, [key, "_salt"]).drop("_salt")
+
+
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 

@@ -23,6 +23,7 @@ none); further columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -33,12 +34,14 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import buckets_for, release, settle, text_batches, text_or_empty, tidied
+from .common import SALTS, buckets_for, join_groups, release, settle, text_batches, text_or_empty, tidied
 from .components import components
 
 BATCH, BUCKET, N = 9 << 20, 8 << 20, 5
 #: Links need 100 * intersection >= PERCENT * union; sets that one trie holds.
 PERCENT, TRIE = 80, 256
+#: Tokens of one shingle that one task takes; beyond SALTS times as many, more.
+DEALT = 2000
 
 _NUMBERED = pa.schema([("batch", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("codes", pa.binary()), ("hashes", pa.binary())])
 _U = np.uint64
@@ -245,6 +248,26 @@ def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return out
 
 
+def _between_components(tokens: DataFrame) -> DataFrame:
+    """Distinct pairs (probe, cid) of classes in different components that share a prefix shingle and whose sizes and places in it allow a link.
+
+    tokens: h, cid, n, at, root, most (the root that h has most often) and all (how many tokens h has). Links join sizes
+    within a ratio of PERCENT, so tokens meet by steps of size as well as by h; those of a frequent h are dealt to tasks.
+    What sizes and places rule out is ruled out inside the join. Unlike classes of like sizes that share a prefix shingle,
+    and so some four fifths of their rarest shingles with other texts, are still compared pair by pair.
+    """
+    step = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / PERCENT) + 1e-9)
+    deals = F.least(F.ceil(F.col("all") / DEALT), F.lit(SALTS)).cast("int")
+    a = tokens.filter("root <> most").select(
+        F.col("h").alias("a_h"), *(F.col(c).alias(f"a_{c}") for c in ("cid", "n", "at", "root")), F.explode(F.array(step - 1, step, step + 1)).alias("a_step"), deals.alias("deals")
+    ).withColumn("a_deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).drop("deals")
+    b = tokens.select("h", "cid", "n", "at", "root", step.alias("step"), F.pmod(F.xxhash64("cid"), deals).cast("int").alias("deal"))
+    bound = F.expr(f"{100 + PERCENT} * least(n - at, a_n - a_at) >= {PERCENT} * (n + a_n)")
+    met = (F.col("h") == F.col("a_h")) & (F.col("step") == F.col("a_step")) & (F.col("deal") == F.col("a_deal"))
+    pairs = a.join(b, met & (F.col("root") != F.col("a_root")) & _similar_sizes("n", "a_n") & bound)
+    return pairs.select(F.greatest("cid", "a_cid").alias("probe"), F.least("cid", "a_cid").alias("cid")).distinct()
+
+
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, class_id (least doc_id with the same set) and class_size."""
     rows = describe(docs, id_col, text_col)
@@ -256,8 +279,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     tokens = settle(sets.select("cid", "n", "alone", F.posexplode(prefix).alias("at", "h")).withColumn("at", F.col("at") + F.col("alone")), "prefixes")
 
     purity = F.struct((F.col("alone") / F.col("n")).alias("x"), F.col("cid").alias("probe"), F.col("n").alias("m"))
-    leaders = tokens.groupBy("h").agg(F.min(purity).alias("lead"))
-    facing = tokens.join(leaders, "h").filter(F.col("cid") != F.col("lead.probe")).filter(_similar_sizes("n", "lead.m"))
+    leaders = settle(tokens.groupBy("h").agg(F.min(purity).alias("lead"), F.count("*").alias("k")).filter("k > 1"), "leaders")
+    facing = join_groups(tokens, leaders, "h", "k", "cid").filter(F.col("cid") != F.col("lead.probe")).filter(_similar_sizes("n", "lead.m"))
     votes = facing.groupBy("cid", F.col("lead.probe").alias("probe")).agg(F.count("*").alias("votes"))
     stars = votes.groupBy("cid").agg(F.max(F.struct("votes", "probe")).alias("best")).select(F.col("best.probe").alias("probe"), "cid")
     near = settle(verified(stars, sets), "links")
@@ -266,13 +289,9 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rooted = tokens.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     rooted = settle(rooted, "rooted")
     shares = rooted.groupBy("h", "root").agg(F.count("*").alias("k"))
-    most = shares.groupBy("h").agg(F.max(F.struct("k", "root")).alias("most"), F.count("*").alias("roots")).filter("roots > 1").select("h", F.col("most.root").alias("most"))
-    open_ = rooted.join(most, "h")
-    a = open_.filter("root <> most").select("h", *(F.col(c).alias(f"a_{c}") for c in ("cid", "n", "at", "root")))
-    b = open_.select("h", "cid", "n", "at", "root")
-    bound = F.expr(f"{100 + PERCENT} * (least(n - at, a_n - a_at)) >= {PERCENT} * (n + a_n)")
-    pairs = a.join(b, "h").filter("root <> a_root").filter(_similar_sizes("n", "a_n")).filter(bound)
-    rest = pairs.select(F.greatest("cid", "a_cid").alias("probe"), F.least("cid", "a_cid").alias("cid")).distinct()
+    most = shares.groupBy("h").agg(F.max(F.struct("k", "root")).alias("most"), F.count("*").alias("roots"), F.sum("k").alias("all")).filter("roots > 1")
+    open_ = settle(join_groups(rooted, settle(most.select("h", F.col("most.root").alias("most"), "all"), "most"), "h", "all", "cid"), "open")
+    rest = _between_components(open_)
     more = settle(verified(rest, sets), "links")
 
     joined = more.select(F.col("u").alias("node"), F.col("v").alias("other"))
@@ -281,6 +300,6 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     named = classes.join(whole.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     lows = named.groupBy("root").agg(F.min("class_id").alias("component_id"))
     named = named.join(lows, "root").select("key", "component_id", "class_id", "class_size")
-    out = rows.filter("n > 0").select("doc_id", "n", "key").join(named, "key").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_id", "class_size")
+    out = join_groups(rows.filter("n > 0").select("doc_id", "n", "key"), settle(named, "named"), "key", "class_size", "doc_id").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_id", "class_size")
     alone = rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
     return out.unionAll(alone)

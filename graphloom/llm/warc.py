@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, settle
+from .common import fresh, join_groups, settle, text_batches, tidied
 
 FRAME_BYTES, BUNDLE_BYTES, REVISIT_FROM = 256 << 10, 64 << 20, 100
 #: Fixed values of the formats: skippable frame of the seek table, its closing mark.
@@ -101,6 +101,7 @@ class BundleReader:
         f.seek(end - 8 - size)
         table = json.loads(zstandard.ZstdDecompressor().decompress(f.read(size)))
         self.frames, self.records = table["frames"], table["records"]
+        self.places = {page_id: (k, at) for page_id, k, at in reversed(self.records)}  # the first of each identifier
 
     def frame(self, k: int) -> bytes:
         at, size, plain = self.frames[k]
@@ -108,7 +109,7 @@ class BundleReader:
         return zstandard.ZstdDecompressor().decompress(self.f.read(size), max_output_size=plain)
 
     def get(self, page_id: int | None) -> tuple[dict[str, str], bytes]:
-        k, at = next((k, at) for p, k, at in self.records if p == page_id)
+        k, at = self.places[page_id]
         return parse(self.frame(k), at)[:2]
 
     def __iter__(self) -> Iterator[tuple[int | None, dict[str, str], bytes]]:
@@ -165,19 +166,38 @@ def _read(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordB
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
 
+_PAGES = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("digest", pa.string()), ("size", pa.int64())])
+
+
+@tidied
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests of payloads; a payload that equals an earlier one of its batch under a smaller page_id, and so will be a revisit, is left out."""
+    key = lambda p: (p is None, p or 0)
+    for batch in text_batches(batches, "payload"):
+        ids, payloads = batch.column("page_id").to_pylist(), batch.column("payload").to_pylist()
+        digests = [hashlib.sha256(x).hexdigest() for x in payloads]
+        least: dict[str, tuple] = {}
+        for p, d in zip(ids, digests, strict=True):
+            least[d] = min(least.get(d, key(p)), key(p))
+        kept = [x if len(x) < REVISIT_FROM or key(p) == least[d] else None for p, x, d in zip(ids, payloads, digests, strict=True)]
+        columns = batch.column("page_id"), batch.column("url"), kept, digests, [len(x) for x in payloads]
+        yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, _PAGES.types, strict=True)], schema=_PAGES)
+
+
 def plan_records(pages: DataFrame) -> DataFrame:
-    """Per page: page_id, url, payload (null for revisits), digest, size, revisit, refers_to."""
+    """Per page: page_id, url, payload (null for revisits), digest, size, revisit, refers_to.
+
+    Only digests and ids are grouped. Of a batch's equal payloads one goes on to the join, so what moves of a page that a
+    third of all rows hold is a payload per batch; its rows are dealt to many tasks.
+    """
     html = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("payload"))
-    rows = rows.withColumns({"digest": F.sha2("payload", 256), "size": F.octet_length("payload").cast("long")})
-    #: Only digests, not payloads, are grouped; groups of one need no join row.
+    rows = settle(rows.mapInArrow(_digests, "page_id bigint, url string, payload binary, digest string, size bigint"), "pages")
     order = F.struct(F.col("page_id").isNull().alias("z"), "page_id")
-    firsts = (
-        rows.filter(F.col("size") >= REVISIT_FROM).groupBy("digest").agg(F.min(order).alias("o"), F.count("*").alias("n"))
-        .filter("n > 1").select("digest", F.col("o.page_id").alias("first"))
-    )
+    firsts = rows.groupBy("digest").agg(F.min(order).alias("o"), F.count("*").alias("n"), F.max("size").alias("bytes"))
+    firsts = settle(firsts.select("digest", F.when((F.col("n") > 1) & (F.col("bytes") >= REVISIT_FROM), F.col("o.page_id")).alias("first"), "n"), "firsts")
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return rows.join(firsts, "digest", "left").select(
+    return join_groups(rows.withColumn("own", F.xxhash64("page_id", "url")), firsts, "digest", "n", "own").select(
         "page_id", "url", F.when(~again, F.col("payload")).alias("payload"), "digest", "size", again.alias("revisit"), F.when(again, F.col("first")).alias("refers_to")
     )
 
