@@ -4,11 +4,14 @@ For each language a suffix automaton of labelled text recognises every substring
 phrase goes on as long as the automaton knows it, so phrases are longest matches, and the fewer are needed the closer
 the languages. Phrases per symbol are divided by what held-back labelled text of that language itself needs; the
 least wins, and the score is one less its ratio to the second. Texts are parsed in windows of 1024 symbols, all
-windows of a batch and all languages in step.
+windows of a batch and all languages in step; then each window is parsed again from where the one before really ended,
+until both parses meet, so the phrases counted are those of the whole text.
 
 The model is fitted on a bounded sample: at most SAMPLE_SYMBOLS symbols over all languages, from labelled rows with the
-least hashes of each language, PIECE code points of each and equal ones once, so that no piece held back is a copy of
-a learnt one; every text is predicted whole.
+least hashes of each language, PIECE code points of each (fewer, but at least LEAST_PIECE, if there are so many languages
+that two pieces of each would exceed the sample) and equal ones once, so that no piece held back is a copy of a learnt
+one; every text is predicted whole. All letters of the sample are told apart: transitions by the 254 most frequent ones
+are kept in a table, those by others as sorted keys.
 
 Defined cases: `und` with score 0 for null, empty and letterless texts; a text in unknown letters gets the first
 language by name at score 0; ties go to the first name; repeated rows get the same result each; without labelled rows
@@ -18,6 +21,7 @@ all are `und`; further columns are ignored; an empty table gives an empty result
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +31,11 @@ from pyspark.sql import functions as F
 
 from .common import held, text_batches, tidied
 
-SAMPLE_SYMBOLS, PIECE, WINDOW, HELD_BACK = 200_000, 2000, 1024, 6
+SAMPLE_SYMBOLS, PIECE, LEAST_PIECE, WINDOW, HELD_BACK = 200_000, 2000, 50, 1024, 6
 #: Classes of symbols: unknown letters and the space that stands for a run of other characters.
 UNKNOWN, GAP, FIRST = 0, 1, 2
+#: Classes that have a column in the table of transitions.
+DENSE = 256
 
 
 _letters: list[np.ndarray] = []
@@ -39,7 +45,7 @@ def kinds_of(letters: list[str]) -> np.ndarray:
     """Class of each code point: known letters from FIRST on, other letters, and all else."""
     if not _letters:
         _letters.append(np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000))
-    kinds = np.where(_letters[0], UNKNOWN, GAP).astype(np.uint8)
+    kinds = np.where(_letters[0], UNKNOWN, GAP).astype(np.int32)
     kinds[[ord(c) for c in letters]] = range(FIRST, FIRST + len(letters))
     return kinds
 
@@ -52,8 +58,8 @@ def symbols(text: str, table: np.ndarray) -> np.ndarray:
     return kinds[keep]
 
 
-def automaton(text: list[int], size: int) -> np.ndarray:
-    """Transitions of the suffix automaton of text: state by class, 0 for none; state 1 is the start."""
+def automaton(text: list[int], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Transitions of the suffix automaton of text: a table of state by class below size, 0 for none, and (state, class, to) of other classes; state 1 is the start."""
     move: list[dict[int, int]] = [{}, {}]
     link, length, last = [0, 0], [0, 0], 1
     for c in text:
@@ -80,34 +86,41 @@ def automaton(text: list[int], size: int) -> np.ndarray:
                     p = link[p]
         last = cur
     table = np.zeros((len(move), size), np.int32)
+    others = []
     for state, row in enumerate(move):
-        if row:
-            table[state, list(row)] = list(row.values())
-    return table
+        for c, to in row.items():
+            if c < size:
+                table[state, c] = to
+            else:
+                others.append((state, c, to))
+    return table, np.array(others, np.int64).reshape(-1, 3)
 
 
 class Model:
     """Automata of all languages in one table whose entries are places of rows in it."""
 
-    def __init__(self, sample: dict[str, list[str]]):
+    def __init__(self, sample: dict[str, list[str]], dense: int = DENSE):
         self.langs = sorted(sample)
-        letters = sorted({c for texts in sample.values() for t in texts for c in t.lower() if c.isalpha()})
-        letters = letters[: 256 - FIRST]
-        self.kinds = kinds_of(letters)
-        size = FIRST + len(letters)
+        often = Counter(c for texts in sample.values() for t in texts for c in t.lower() if c.isalpha())
+        letters = sorted(often, key=lambda c: (-often[c], c))
+        self.kinds, self.all = kinds_of(letters), FIRST + len(letters)
+        size = self.size = min(dense, self.all)
         # Pieces that differ in case or between letters only are copies too.
         sample = {lang: list({symbols(t, self.kinds).tobytes(): t for t in reversed(texts)}.values())[::-1] for lang, texts in sample.items()}
-        tables, self.starts, base, self.rate = [], [], 0, np.ones(len(self.langs))
+        tables, rest, self.starts, base, self.rate = [], [np.zeros((0, 2), np.int64)], [], 0, np.ones(len(self.langs))
         for lang in self.langs:
             kept = [t for i, t in enumerate(sample[lang]) if i % HELD_BACK or len(sample[lang]) < 2]
             own = symbols("\n".join(kept), self.kinds)
-            table = automaton(own[own != UNKNOWN].tolist(), size)
+            table, others = automaton(own[own != UNKNOWN].tolist(), size)
             tables.append(np.where(table, table * size + base, 0).ravel())
+            rest.append(np.stack([(others[:, 0] * size + base) * self.all + others[:, 1], others[:, 2] * size + base], axis=1))
             self.starts.append(base + size)
             base += table.size
         self.table = np.concatenate([*tables, np.zeros(size, np.int64)]).astype(np.int32)
-        self.size = size
-        self.fresh = np.concatenate([np.where((row := self.table[s : s + size]) == 0, s, row) for s in self.starts] or [np.zeros(0, np.int32)]).astype(np.int32)
+        keys = np.concatenate(rest)
+        self.keys, self.to = (keys[np.argsort(keys[:, 0])].T if len(keys) else (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+        every = np.arange(self.all, dtype=np.int32)
+        self.fresh = np.array([np.where((row := self._step(np.full((1, self.all), s, np.int32), every)[0]) == 0, s, row) for s in self.starts], np.int32).reshape(len(self.langs), self.all)
         for k, lang in enumerate(self.langs):
             back = [t for i, t in enumerate(sample[lang]) if not i % HELD_BACK]
             parsed = [symbols(t, self.kinds) for t in back]
@@ -115,6 +128,24 @@ class Model:
             if total:
                 self.rate[k] = max(self.phrases(parsed)[:, k].sum() / total, 1e-6)
 
+    def _step(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Where classes c lead from states (languages by lanes); 0 for nowhere."""
+        if self.all <= self.size:
+            return self.table[state + c]
+        rare = np.flatnonzero(c >= self.size)
+        to = self.table[state + np.where(c < self.size, c, UNKNOWN)]
+        if len(rare) and len(self.keys):
+            want = state[:, rare].astype(np.int64) * self.all + c[rare]
+            at = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
+            to[:, rare] = np.where(self.keys[at] == want, self.to[at], 0)
+        return to
+
+    def _go(self, state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after classes c, and whether a phrase ended before them."""
+        to = self._step(state, c)
+        ends = to == 0
+        return np.where(ends, self.fresh[:, c], to), ends
+
     def phrases(self, parsed: list[np.ndarray]) -> np.ndarray:
         """Phrases of each sequence of symbols by language."""
         langs = len(self.langs)
@@ -122,31 +153,59 @@ class Model:
         lens = np.array([len(x) for x in parsed], np.int64)
         if not lens.sum() or not langs:
             return out
-        flat = np.concatenate(parsed).astype(np.int32)
+        flat = np.concatenate(parsed)
         windows = -(-lens // WINDOW)
         owner = np.repeat(np.arange(len(parsed)), windows)
         nth = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
         begin = (np.cumsum(lens) - lens)[owner] + nth * WINDOW
         size = np.minimum(lens[owner] - nth * WINDOW, WINDOW)
         order = np.argsort(-size, kind="stable")
-        owner, begin, size = owner[order], begin[order], size[order]
-        active = np.searchsorted(-size, -np.arange(int(size[0])), "left")
+        active = np.searchsorted(-size[order], -np.arange(int(size.max())), "left")
         start = np.array(self.starts, np.int32)[:, None]
-        state = np.repeat(start, len(owner), axis=1)
-        count = np.ones((langs, len(owner)), np.int32)
-        lead = (np.arange(langs, dtype=np.int32) * self.size)[:, None]
+        state, count = np.repeat(start, len(owner), axis=1), np.zeros((langs, len(owner)), np.int64)
         for t, m in enumerate(active.tolist()):
-            c = flat[begin[:m] + t]
-            to = self.table[state[:, :m] + c]
-            ends = to == 0
+            state[:, :m], ends = self._go(state[:, :m], flat[begin[order[:m]] + t])
             count[:, :m] += ends
-            state[:, :m] = np.where(ends, self.fresh[lead + c], to)
+        back = np.argsort(order)
+        state, count = state[:, back], count[:, back]
+        self._rejoin(flat, begin, size, nth, state, count)
         for k in range(langs):
-            out[:, k] = np.bincount(owner, count[k], len(parsed)).astype(np.int64)
+            out[:, k] = np.bincount(owner, count[k], len(parsed)).astype(np.int64) + (lens > 0)
         return out
 
+    def _rejoin(self, flat: np.ndarray, begin: np.ndarray, size: np.ndarray, nth: np.ndarray, state: np.ndarray, count: np.ndarray) -> None:
+        """Set counts and last states to what they are when each window goes on where the one before ended."""
+        start = np.array(self.starts, np.int32)[:, None]
+        more = np.zeros_like(count)
+        lanes = np.flatnonzero(nth > 0)
+        true = state.copy()  # at the end of each window, as far as known
+        while len(lanes):
+            fresh, real, own = np.repeat(start, len(lanes), axis=1), true[:, lanes - 1], lanes
+            more[:, lanes] = 0
+            met = np.zeros(0, np.int64)
+            for t in range(WINDOW):
+                apart = np.flatnonzero((fresh != real).any(axis=0) & (size[own] > t))
+                done = np.setdiff1d(np.arange(len(own)), apart, assume_unique=True)
+                met = np.concatenate([met, own[done]])
+                left = done[(fresh[:, done] != real[:, done]).any(axis=0)]
+                true[:, own[left]] = real[:, left]
+                own, fresh, real = own[apart], fresh[:, apart], real[:, apart]
+                if not len(own):
+                    break
+                c = flat[begin[own] + t]
+                fresh, a = self._go(fresh, c)
+                real, b = self._go(real, c)
+                more[:, own] += b.astype(np.int64) - a
+            true[:, own] = real  # these went through the whole window
+            changed = np.flatnonzero((true != state).any(axis=0))
+            state[:] = true
+            lanes = changed + 1
+            lanes = lanes[lanes < len(nth)]
+            lanes = lanes[nth[lanes] > 0]
+        count += more
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        parsed = [symbols(t, self.kinds) if t else np.zeros(0, np.uint8) for t in texts]
+        parsed = [symbols(t, self.kinds) if t else np.zeros(0, np.int32) for t in texts]
         lettered = np.array([bool((x != GAP).any()) for x in parsed], bool)
         if not self.langs:
             return ["und"] * len(texts), [0.0] * len(texts)
@@ -165,8 +224,9 @@ def fit_sample(labelled: DataFrame) -> dict[str, list[str]]:
     rows = labelled.filter("lang is not null and length(text) > 0")
     langs = rows.agg(F.approx_count_distinct("lang")).first()[0]
     each = max(2, SAMPLE_SYMBOLS // PIECE // max(1, langs))
+    size = min(PIECE, max(LEAST_PIECE, SAMPLE_SYMBOLS // (2 * max(1, langs))))
     first = Window.partitionBy("lang").orderBy("h")
-    pieces = rows.select("lang", F.left("text", F.lit(PIECE)).alias("piece")).withColumn("h", F.xxhash64(F.lower("piece")))
+    pieces = rows.select("lang", F.left("text", F.lit(size)).alias("piece")).withColumn("h", F.xxhash64(F.lower("piece")))
     least = pieces.select("lang", "h").distinct().withColumn("n", F.row_number().over(first)).filter(F.col("n") <= each)
     chosen = pieces.join(F.broadcast(least), ["lang", "h"]).groupBy("lang", "n").agg(F.min("piece").alias("piece")).collect()  # each per language
     sample: dict[str, list[str]] = {}

@@ -344,25 +344,76 @@ def test_op7_languages(spark, folder, docs):
         assert 0 <= got[d].score <= 1
 
 
-def test_cross_parsing_counts_longest_matches():
-    import numpy as np
+def _cross_parse(sample, texts):
+    """Language and score of each text, plainly: substrings of the learnt text instead of automata."""
+    from graphloom.llm import langid
+
+    letters = {c for ts in sample.values() for t in ts for c in t.lower() if c.isalpha()}
+
+    def symbols(text):
+        out = []
+        for c in text.lower():
+            kind = c if c in letters else "?" if c.isalpha() else " "
+            if kind != " " or not out or out[-1] != " ":
+                out.append(kind)
+        return "".join(out)
+
+    def phrases(known, text):
+        count, at, own = 1 if text else 0, 0, ""
+        for c in text:
+            if own + c in known:
+                own += c
+            else:
+                count, own = count + 1, c if c in known else ""
+        return count
+
+    learnt, rate = {}, {}
+    for lang, ts in sample.items():
+        kept, back = list({symbols(t): t for t in reversed(ts)}.values())[::-1], []
+        kept, back = [t for i, t in enumerate(kept) if i % langid.HELD_BACK or len(kept) < 2], [t for i, t in enumerate(kept) if not i % langid.HELD_BACK]
+        learnt[lang] = symbols("\n".join(kept)).replace("?", "")
+        total = sum(len(symbols(t)) for t in back)
+        rate[lang] = max(sum(phrases(learnt[lang], symbols(t)) for t in back) / total, 1e-6) if total else 1.0
+    out = []
+    for text in texts:
+        if not any(c.isalpha() for c in text or ""):
+            out.append(("und", 0.0))
+            continue
+        cost = sorted((phrases(learnt[k], symbols(text)) / rate[k], k) for k in sorted(sample))
+        out.append((cost[0][1], 1 - cost[0][0] / cost[1][0] if len(cost) > 1 else 1.0))
+    return out
+
+
+def test_op7_against_plain_cross_parsing(spark, folder, docs):
+    from graphloom.llm import langid
 
-    from graphloom.llm.langid import GAP, Model
+    rows = spark.read.parquet(f"{folder}/documents.parquet")
+    sample = langid.fit_sample(rows.filter(langid.fold() != 2).select("lang", "text"))
+    want = {d: x for (d, *_), x in zip(docs, _cross_parse(sample, [t for _, t, *_ in docs]))}
+    for r in _run(spark, folder, "op7"):
+        assert (r.lang_pred, pytest.approx(r.score, abs=1e-9)) == want[r.doc_id]
 
-    sample = {"a": ["the river runs over the cold stone", "x"], "b": ["der kalte stein im wald", "y"]}
+
+def test_cross_parsing_of_large_alphabets_and_long_texts():
+    """Over a thousand letters of three scripts, by table and by keys; windows make no difference."""
+    import random
+
+    from graphloom.llm.langid import Model, symbols
+
+    rnd = random.Random(4)
+    scripts = {"han": [chr(0x4E00 + i) for i in range(700)], "hangul": [chr(0xAC00 + 7 * i) for i in range(500)], "latin": list("abcdefghijklmnopqrstuvwxyz")}
+    stems = {k: ["".join(rnd.choice(v) for _ in range(rnd.randint(1, 4))) for _ in range(600)] for k, v in scripts.items()}
+    prose = lambda k, n: " ".join(rnd.choice(stems[k]) for _ in range(n))
+    sample = {k: [prose(k, 150) for _ in range(13)] for k in scripts}
     model = Model(sample)
-    learnt = {"a": "x", "b": "y"}  # the first text of each is held back
-    text = "the cold river x y stone"
-    for k, lang in enumerate(model.langs):
-        phrases, at = 1, ""
-        for c in text:
-            if at + c in learnt[lang]:
-                at += c
-            else:
-                phrases, at = phrases + 1, c if c in learnt[lang] else ""
-        own = model.kinds[np.frombuffer(text.encode("utf-32-le"), "<u4")]
-        assert model.phrases([own])[0][k] == phrases
-    assert GAP in own
+    assert model.all > 1000 > model.size
+    texts = [prose(k, n) for k in scripts for n in (3, 40, 2500)] + ["a" * 5000, "", "12", None, "ab" * 3000 + prose("han", 900)]
+    langs, scores = model.predict(texts)
+    assert [(a, pytest.approx(b, abs=1e-9)) for a, b in zip(langs, scores)] == _cross_parse(sample, texts)
+    assert langs[:9] == [k for k in scripts for _ in range(3)]
+    small = Model(sample, dense=40)
+    own = [symbols(t or "", model.kinds) for t in texts]
+    assert (small.phrases(own) == model.phrases(own)).all()
 
 
 def test_op7_copies_take_one_place_in_the_sample(spark):
