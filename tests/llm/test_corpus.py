@@ -310,30 +310,95 @@ def test_warc_random_access(tmp_path):
         assert zstandard.ZstdDecompressor().stream_reader(f, read_across_frames=True).read().count(b"WARC/1.1") == 50
 
 
+SCRIPTS = [(0x4E00, 0x9FFF), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x0E01, 0x0E30)]
+
+
+def _anchors(text):
+    """All anchors of a text, plainly."""
+    import xxhash
+
+    def spark_hash(*values):  # as Spark hashes longs and strings, one after the other
+        seed = 42
+        for v in values:
+            data = v.encode() if isinstance(v, str) else (v % 2**64).to_bytes(8, "little")
+            seed = xxhash.xxh64_intdigest(data, seed)
+        return seed - 2**64 if seed >= 2**63 else seed
+
+    symbols, spaces = [], " \t\n\x0b\x0c\r"
+    run = re.search(r"[^\x20\x09-\x0D]{25}", text)
+    for w in re.split(f"[{spaces}]+", "".join(f" {c} " if any(a <= ord(c) <= b for a, b in SCRIPTS) else c for c in text)):
+        if run and len(w) >= 25:
+            symbols += [x for x in re.split(r"(?<=[aeimquyAEIMQUY0369/.,;:&?=_+-])", w) if x]
+        elif w:
+            symbols.append(w)
+    h = [spark_hash(w) for w in symbols]
+    if len(h) < 5:
+        return [(spark_hash(*h) & -4) | 1] if h else []
+    s = [spark_hash(a, b) for a, b in zip(h, h[1:])]
+    out, last = [], -1
+    for i in range(len(h) - 4):
+        if min(s[i : i + 4]) in (s[i], s[i + 3]):
+            out.append((spark_hash(*h[i : i + 5]) & -4) | (i - last))
+            last = i
+    return out
+
+
 def test_op6_fingerprints(spark, folder, docs):
-    got = {r.doc_id: r for r in _run(spark, folder, "op6")}
+    rows = _run(spark, folder, "op6")
+    got = {r.doc_id: r for r in rows}
     order = sorted({d: t or "" for d, t, *_ in docs}.items())
-    assert len(_run(spark, folder, "op6")) == len(docs)
-    prints = {}
+    assert len(rows) == len(docs)
+    like = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) if a or b else 1.0
+    said = lambda a: "".join(f"{x % 2**64:016x}" for x in a)
     for i, (d, t) in enumerate(order):
         half, nxt = len(t) // 2, order[(i + 1) % len(order)][1]
+        edited = t[: len(t) - half] + nxt[:half]
         assert got[d].n_chars == len(t)
-        assert got[d].edited_sha256 == hashlib.sha256((t[: len(t) - half] + nxt[:half]).encode()).hexdigest()
-        assert prints.setdefault(t, got[d].fingerprint) == got[d].fingerprint
-        assert 0 <= got[d].near_edited <= 1 and 0 <= got[d].near_next <= 1
-        if t == nxt:
-            assert got[d].near_next == 1
+        assert got[d].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        a, b = _anchors(t), _anchors(edited)
+        assert (got[d].fingerprint, got[d].edited_fingerprint) == (said(a), said(b))
+        assert got[d].near_edited == pytest.approx(like(a, b)) and got[d].near_next == pytest.approx(like(a, _anchors(nxt)))
     near = [d for d, t in order if "w0" in t or "w1" in t or "w2" in t]
     assert all(got[d].near_next > 0.75 for d in near[:2])
 
 
+def test_op6_next_documents_over_parts_nulls_and_repeats(spark):
+    from graphloom.llm import fingerprints
+
+    rows = [(i, f"text number {i} of many, and {i * 7} more") for i in range(0, 400, 3)] + [(None, "no id"), (None, "no id"), (5, "b"), (5, "a"), (5, "a"), (399, "text number 399 of many, and 2793 more")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in fingerprints.fingerprint_edits(frame).collect())
+    assert sum(got.values()) == len(rows)
+    hash_of = {(r.doc_id, r.text): r.h for r in frame.withColumn("h", F.xxhash64("text")).collect()}
+    keys = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, hash_of[r]))
+    want = Counter()
+    for r in rows:
+        t, nxt = r[1], keys[(keys.index(r) + 1) % len(keys)][1]
+        want[(r[0], len(t), hashlib.sha256((t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]).encode()).hexdigest())] += 1
+    assert got == want
+    one = fingerprints.fingerprint_edits(spark.createDataFrame([(1, "alone here"), (1, "alone here")], "doc_id bigint, text string")).collect()
+    assert [r.near_next for r in one] == [1.0, 1.0]
+
+
 def test_syncmers_are_context_free(spark):
+    import random
+
     from graphloom.llm.fingerprints import with_anchors
 
+    rnd = random.Random(6)
     words = [f"q{i}" for i in range(40)]
-    frame = spark.createDataFrame([(" ".join(words),), (" ".join(words[7:33]),)], "t string")
-    a, b = [set(r.a) for r in with_anchors(frame, "t", "a").collect()]
-    assert b < a and len(b) >= 5
+    han = "".join(chr(0x4E00 + rnd.randrange(3000)) for _ in range(3000))
+    code = "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(3000))
+    pairs = [(" ".join(words), " ".join(words[7:33])), (han, "\u4e00" + han), (code, "X" + code), (code, code[:1500] + "zz" + code[1500:])]
+    frame = spark.createDataFrame([(k, x) for k, p in enumerate(pairs) for x in p], "k int, t string")
+    got = defaultdict(list)
+    for r in with_anchors(frame, "t", "a").orderBy("k").collect():
+        got[r.k].append({x >> 2 for x in r.a})  # without steps
+    a, b = sorted(got[0], key=len)
+    assert a < b and len(a) >= 5
+    for k in (1, 2, 3):
+        a, b = got[k]
+        assert min(len(a), len(b)) > 100 and len(a & b) > 0.9 * max(len(a), len(b))
 
 
 def test_op7_languages(spark, folder, docs):
