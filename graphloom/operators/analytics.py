@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..graph import Graph
+from ..graph import Graph, dense_index
 from ..plans.tables import settle
 
 #: Rounds between stored tables in loops whose every round is cheap.
@@ -30,12 +30,17 @@ def pagerank(g: Graph, damping: float = 0.85, iterations: int = 50, symmetric: b
     links = edges.join(out.withColumnRenamed("idx", "src"), "src").select("src", "dst", (F.col("k") / F.col("out")).alias("share"))
     links = settle(links, "shares")
     nodes = settle(g.nodes.select("idx").join(out, "idx", "left"), "outs")
-    rank = nodes.withColumn("pagerank", F.lit(1.0 / n))
+    rank = nodes.withColumn("pagerank", F.lit(1.0 / n)) if (dangling := nodes.filter("out is null").limit(1).count()) else nodes.select("idx", F.lit(1.0 / n).alias("pagerank"))
+    every = nodes.select("idx", F.lit(0.0).alias("given"))
     for step in range(iterations):
-        lost = rank.filter("out is null").agg(F.coalesce(F.sum("pagerank"), F.lit(0.0)).alias("lost"))
-        given = links.join(rank.select(F.col("idx").alias("src"), "pagerank"), "src").groupBy(F.col("dst").alias("idx")).agg(F.sum(F.col("share") * F.col("pagerank")).alias("given"))
-        new = (1 - damping) / n + damping * (F.coalesce("given", F.lit(0.0)) + F.col("lost") / n)
-        rank = nodes.join(given, "idx", "left").crossJoin(F.broadcast(lost)).select("idx", "out", new.alias("pagerank"))  # one row
+        given = links.join(rank.select(F.col("idx").alias("src"), "pagerank"), "src").select(F.col("dst").alias("idx"), (F.col("share") * F.col("pagerank")).alias("given"))
+        given = given.unionAll(every).groupBy("idx").agg(F.sum("given").alias("given"))
+        new = (1 - damping) / n + damping * F.col("given")
+        if dangling:
+            lost = rank.filter("out is null").agg(F.sum("pagerank").alias("lost"))
+            rank = given.join(nodes, "idx").crossJoin(F.broadcast(lost)).select("idx", "out", (new + damping * F.col("lost") / n).alias("pagerank"))  # one row
+        else:
+            rank = given.select("idx", new.alias("pagerank"))
         if step % STORE_EVERY == STORE_EVERY - 1:
             rank = settle(rank, "rank")
     return rank.select("idx", "pagerank")
@@ -64,9 +69,9 @@ def components(g: Graph) -> DataFrame:
 
 
 def first_seen(labels: DataFrame, label: str, out: str) -> DataFrame:
-    """Number labels from 0 in the order of their first idx; only distinct labels meet in the ranking."""
+    """Number labels from 0 in the order of their first idx, sorted by ranges: there may be as many labels as nodes."""
     firsts = labels.groupBy(label).agg(F.min("idx").alias("_first"))
-    ranked = firsts.withColumn(out, (F.row_number().over(Window.orderBy("_first")) - 1).cast("long")).drop("_first")
+    ranked = dense_index(firsts, "_first").select(label, F.col("idx").cast("long").alias(out))
     return labels.join(ranked, label).select("idx", out)
 
 
@@ -271,11 +276,11 @@ def spmv(matrix: DataFrame, x: DataFrame, half: bool = False) -> DataFrame:
     return matrix.join(x, "col").groupBy("row").agg(F.sum(F.col("w") * F.col("x")).alias("y"))
 
 
-def compute_all(g: Graph) -> DataFrame:
-    """All metrics of the nodes by idx."""
+def compute_all(g: Graph, k: int = 500) -> DataFrame:
+    """All metrics of the nodes by idx; core numbers are the true ones, which graphs of any size have."""
     out = degrees(g)
-    for part in (pagerank(g), betweenness(g), kcore_sweep(g), wcc(g), louvain(g)):
-        out = out.join(part, "idx")
+    for part in (pagerank(g), betweenness(g, k), core_numbers(g), wcc(g), louvain(g)):
+        out = settle(out.join(part, "idx"), "metrics")
     return out
 
 

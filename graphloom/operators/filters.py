@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -28,6 +28,16 @@ class Group:
     negated: bool = False
 
 
+def is_pattern(value: str) -> bool:
+    """Whether the JVM, which runs it, takes a value as a regular expression."""
+    jvm = SparkSession.active().sparkContext._jvm
+    try:
+        jvm.java.util.regex.Pattern.compile(value)
+    except Py4JJavaError:
+        return False
+    return True
+
+
 def leaves(tree) -> list[Rule]:
     if isinstance(tree, Rule):
         return [tree] if tree.enabled else []
@@ -59,9 +69,7 @@ class Filter:
             elif r.op == "contains":
                 out = F.coalesce(F.exists(v, lambda x: F.contains(F.lower(x), F.lit(r.value.lower()))), F.lit(False))
             else:
-                try:
-                    re.compile(r.value)
-                except re.error:
+                if not is_pattern(r.value):
                     return F.lit(False)
                 out = F.coalesce(F.exists(v, lambda x: x.rlike(r.value)), F.lit(False))
         return ~out if r.negated else out
@@ -109,9 +117,7 @@ class Filter:
             elif t.op != "search" and t.field not in self.fields:
                 out.append((path, "unknown field"))
             elif t.op == "matches":
-                try:
-                    re.compile(t.value)
-                except re.error:
+                if not is_pattern(t.value):
                     out.append((path, "bad pattern"))
 
         walk(self.tree, "root")
@@ -128,6 +134,49 @@ def edit(tree: Group, path: tuple[int, ...], change) -> Group:
     return replace(tree, children=tuple(kids))
 
 
+def insert(tree: Group, path: tuple[int, ...], at: int, node) -> Group:
+    """The tree with a node put at a place among the children of the group at the path."""
+    if not path:
+        return replace(tree, children=(*tree.children[:at], node, *tree.children[at:]))
+    kids = list(tree.children)
+    kids[path[0]] = insert(kids[path[0]], path[1:], at, node)
+    return replace(tree, children=tuple(kids))
+
+
+def at_path(tree, path: tuple[int, ...]):
+    for i in path:
+        tree = tree.children[i]
+    return tree
+
+
+def move(tree: Group, path: tuple[int, ...], into: tuple[int, ...], at: int) -> Group:
+    """The node at a path taken to a place in the group at another; into itself or below it is refused. Both are places in the tree as it is; groups left empty go."""
+    if into[: len(path)] == path:
+        raise ValueError("a group cannot be moved into itself")
+    node, mark = at_path(tree, path), Rule("", "moved", "")
+    marked = edit(tree, path, lambda _: mark)
+    placed = insert(marked, into, at, node)
+
+    def without(t):
+        if t is mark:
+            return None
+        if isinstance(t, Rule):
+            return t
+        kids = tuple(k for k in map(without, t.children) if k is not None)
+        return replace(t, children=kids) if kids or t is placed else None
+
+    return without(placed) or Group(tree.mode)
+
+
+def toggled(tree: Group, path: tuple[int, ...]) -> Group:
+    """The tree with the node at the path switched on or off."""
+    return edit(tree, path, lambda n: replace(n, enabled=not n.enabled))
+
+
+def cleared(tree: Group) -> Group:
+    return replace(tree, children=())
+
+
 def from_chips(chips: dict[str, list[str]], within: str = "any", across: str = "all") -> Group:
     """Facet chips: any or all of a field's values, all or any of the fields."""
     named = {"tag": "tags", "name": "title"}
@@ -150,4 +199,4 @@ def facet_members(nodes: DataFrame, fields: list[str], idx: str = "idx") -> Data
 
 def facet_catalog(members: DataFrame) -> DataFrame:
     """field, value, nodes, ordered by count and value within a field."""
-    return members.groupBy("field", "value").agg(F.count("*").alias("nodes"))
+    return members.groupBy("field", "value").agg(F.count("*").alias("nodes")).orderBy("field", F.desc("nodes"), "value")

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..graph import Graph
+from ..graph import Graph, dense_index
 from ..plans.tables import settle
 from .analytics import bfs
 
@@ -36,8 +36,9 @@ def sphere(nodes: DataFrame, n: int, radius: float = 100.0) -> DataFrame:
 
 
 def concentric(scores: DataFrame, gap: float = 50.0) -> DataFrame:
-    """Rings of equal score, the highest inside; places on a ring in index order. Only distinct scores are ranked together."""
-    rings = scores.groupBy("score").agg(F.count("*").alias("n")).withColumn("ring", F.row_number().over(Window.orderBy(F.desc("score"))) - 1)
+    """Rings of equal score, the highest inside; places on a ring in index order. Scores are ranked by ranges."""
+    sizes = scores.groupBy("score").agg(F.count("*").alias("n")).withColumn("down", -F.col("score"))
+    rings = dense_index(sizes, "down").select("score", "n", F.col("idx").cast("int").alias("ring"))
     placed = scores.join(rings, "score").withColumn("k", F.row_number().over(Window.partitionBy("score").orderBy("idx")) - 1)
     t = F.col("k") * 2 * math.pi / F.col("n")
     return placed.select("idx", "ring", (F.cos(t) * F.col("ring") * gap).alias("x"), (F.sin(t) * F.col("ring") * gap).alias("y"))
@@ -121,8 +122,7 @@ def hilbert(nodes: DataFrame, n: int, order: int = 6, extent: float = 1000.0) ->
 def clusters(members: DataFrame, radius: float = 100.0, gap: float = 50.0) -> DataFrame:
     """members(idx, cluster): each cluster on a circle of its own, in index order; circles around a circle in the order of clusters, a single one at the centre."""
     sizes = members.groupBy("cluster").agg(F.count("*").alias("n"))
-    # Clusters are few against nodes; only they are ranked together.
-    ring = sizes.withColumn("c", F.row_number().over(Window.orderBy("cluster")) - 1).crossJoin(F.broadcast(sizes.agg(F.count("*").alias("all"))))
+    ring = dense_index(sizes, "cluster").withColumnRenamed("idx", "c").crossJoin(F.broadcast(sizes.agg(F.count("*").alias("all"))))
     placed = members.join(ring, "cluster").withColumn("k", F.row_number().over(Window.partitionBy("cluster").orderBy("idx")) - 1)
     inner, outer = F.col("k") * 2 * math.pi / F.col("n"), F.col("c") * 2 * math.pi / F.col("all")
     away = F.when(F.col("all") > 1, 2 * radius + gap).otherwise(0.0)
@@ -158,7 +158,8 @@ def layered(g: Graph, gap: float = 100.0, apart: float = 50.0, direction: str =
         seen = settle(seen.unionAll(now), "seen")
     rest = g.nodes.select("idx").join(seen, "idx", "left_anti")
     size = seen.filter(F.col("layer") == layer).count()
-    seen = seen.unionAll(rest.select("idx", F.lit(layer).alias("layer"), (F.row_number().over(Window.orderBy("idx")) - 1 + size).alias("k")))
+    rest = dense_index(rest.select(F.col("idx").alias("node")), "node")
+    seen = seen.unionAll(rest.select(F.col("node").alias("idx"), F.lit(layer).alias("layer"), (F.col("idx") + size).cast("int").alias("k")))
     sizes = seen.groupBy("layer").agg(F.count("*").alias("n"))
     down, across = F.col("layer") * gap * (-1 if direction in ("BT", "RL") else 1), (F.col("k") - (F.col("n") - 1) / 2) * apart
     x, y = (down, across) if direction in ("LR", "RL") else (across, down)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections import deque
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,25 +13,112 @@ from ..plans.tables import settle
 from .analytics import first_seen, sequential
 
 
+#: Of refinement: passes at most, and how far a part's size may be from the mean.
+PASSES, BALANCE = 8, 0.1
+
+
 def regions(g: Graph, parts: int) -> DataFrame:
-    """idx, part: regions grown breadth first in index order up to ceil(n / parts) nodes, the last taking the rest. One task: order decides."""
+    """idx, part: regions grown breadth first to ceil(n / parts) nodes each, the last taking the rest. One task: order decides.
+
+    A region that is full leaves its frontier behind; the next one begins at the lowest free node, and so does a region
+    whose component is used up. Neighbours are taken in index order.
+    """
 
     def grow(n: int, near: dict[int, list[int]]) -> list[int]:
-        part, full, held, now = [-1] * n, -(-n // parts), 0, 0
-        for seed in range(n):
-            queue = [seed] if part[seed] < 0 else []
-            for v in queue:  # grows while it is read
-                if part[v] >= 0:
+        part, full, seed = [-1] * n, -(-n // parts), 0
+        for now in range(parts):
+            room, queue = (n if now == parts - 1 else full), deque()
+            while room:
+                if not queue:
+                    while seed < n and part[seed] >= 0:
+                        seed += 1
+                    if seed == n:
+                        return part
+                    part[seed], room = now, room - 1
+                    queue.append(seed)
                     continue
-                if held == full and now < parts - 1:
-                    now, held = now + 1, 0
-                part[v], held = now, held + 1
-                queue += sorted(w for w in near.get(v, ()) if part[w] < 0)
+                for w in sorted(set(near.get(queue.popleft(), ()))):
+                    if part[w] < 0 and room:
+                        part[w], room = now, room - 1
+                        queue.append(w)
         return part
 
     return sequential(g, grow, "part bigint")
 
 
+def refined(g: Graph, owners: DataFrame, parts: int) -> DataFrame:
+    """idx, part: nodes moved one by one, in index order, to the part that most of their links lead to, where that cuts fewer edges and keeps sizes within BALANCE of the mean. One task: order decides."""
+    first = {r["idx"]: r["part"] for r in owners.filter("part >= 0").collect()} if g.edges.count() <= 2_000_000 else {}
+
+    def improve(n: int, near: dict[int, list[int]]) -> list[int]:
+        part = [first[v] for v in range(n)]
+        sizes = [0] * parts
+        for x in part:
+            sizes[x] += 1
+        most, least = math.ceil((1 + BALANCE) * n / parts), math.floor((1 - BALANCE) * n / parts)
+        for _ in range(PASSES if parts > 1 else 0):
+            moved = False
+            for v in range(n):
+                links = [0] * parts
+                for w in near.get(v, ()):
+                    links[part[w]] += w != v
+                own, here = links[part[v]], part[v]
+                links[here] = 0
+                to = max(range(parts), key=lambda b: (links[b], -b))
+                if links[to] > own and sizes[to] < most and sizes[here] - 1 >= least:
+                    part[v], moved = to, True
+                    sizes[here] -= 1
+                    sizes[to] += 1
+            if not moved:
+                break
+        return part
+
+    return sequential(g, improve, "part bigint")
+
+
+def first_touch(g: Graph) -> DataFrame:
+    """idx, part: pairs by the first edge, in edge order, whose ends are both free; single nodes follow. One task: order decides."""
+    edges = [(r["src"], r["dst"]) for r in g.edges.orderBy("eidx").select("src", "dst").limit(2_000_001).collect()]
+    if len(edges) > 2_000_000:
+        raise ValueError("too many edges: use matching()")
+
+    def pair(n: int, near: dict[int, list[int]]) -> list[int]:
+        part, now = [-1] * n, 0
+        for s, t in edges:
+            if s != t and part[s] < 0 and part[t] < 0:
+                part[s] = part[t] = now
+                now += 1
+        for v in range(n):
+            if part[v] < 0:
+                part[v], now = now, now + 1
+        return part
+
+    return sequential(g, pair, "part bigint")
+
+
+def cascade(g: Graph, levels: int = 8, target: int = 50, match=None) -> list[tuple[Graph, DataFrame | None]]:
+    """(graph, its nodes' part in the next coarser graph) from the finest to the coarsest, whose parts are None.
+
+    Stops at the target size, at so many levels, or where a round leaves more than a node for each 1.6 nodes before it.
+    """
+    match = match or matching
+    out, now = [], g
+    size = now.nodes.count()
+    while len(out) + 1 < levels and size > target:
+        parts = settle(match(now), "parts")
+        links = settle(contract(now, parts), "coarse")
+        nodes = settle(parts.select(F.col("part").alias("idx")).distinct().withColumn("id", F.col("idx").cast("string")), "coarse")
+        left = nodes.count()
+        if left == size:
+            break
+        out.append((now, parts))
+        now = Graph(nodes, links.select(F.monotonically_increasing_id().alias("eidx"), "src", "dst"))
+        ratio, size = size / max(left, 1), left
+        if ratio < 1.6:
+            break
+    return [*out, (now, None)]
+
+
 def contract(g: Graph, owners: DataFrame) -> DataFrame:
     """src, dst, weight: links between the parts of owners(idx, part), src < dst, with the number of edges in them."""
     at = lambda col, name: owners.select(F.col("idx").alias(col), F.col("part").alias(name))
@@ -36,7 +126,7 @@ def contract(g: Graph, owners: DataFrame) -> DataFrame:
     return cross.groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.count("*").alias("weight"))
 
 
-def matching(g: Graph, rounds: int = 30) -> DataFrame:
+def matching(g: Graph) -> DataFrame:
     """idx, part: pairs of a maximal matching (single nodes stay alone), numbered by first node.
 
     Each round an edge whose seeded hash is least at both of its ends is taken, and what touches it goes; about half of the
@@ -44,9 +134,9 @@ def matching(g: Graph, rounds: int = 30) -> DataFrame:
     """
     left = settle(g.edges.filter("src <> dst").select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct(), "left")
     taken = None
-    for step in range(rounds):
-        if not left.limit(1).count():
-            break
+    step = 0
+    while left.limit(1).count():
+        step += 1
         rated = left.withColumn("h", F.struct(F.xxhash64("u", "v", F.lit(step)).alias("h"), "u", "v"))
         ends = rated.select(F.col("u").alias("idx"), "h").unionAll(rated.select(F.col("v").alias("idx"), "h"))
         least = ends.groupBy("idx").agg(F.min("h").alias("h"))
@@ -54,9 +144,6 @@ def matching(g: Graph, rounds: int = 30) -> DataFrame:
         taken = best if taken is None else taken.unionAll(best)
         gone = best.select(F.col("u").alias("x")).unionAll(best.select(F.col("v").alias("x")))
         left = settle(left.join(gone, left.u == gone.x, "left_anti").join(gone, left.v == gone.x, "left_anti"), "left")
-    else:
-        if left.limit(1).count():
-            raise RuntimeError("the matching needs more rounds")
     if taken is None:
         return first_seen(g.nodes.select("idx", F.col("idx").alias("root")), "root", "part")
     roots = g.nodes.select("idx").join(taken.select(F.col("v").alias("idx"), F.col("u").alias("root")), "idx", "left")

@@ -35,6 +35,12 @@ def apply_nodes(nodes: DataFrame, ops: DataFrame) -> DataFrame:
     return kept.unionByName(last.filter("op.kind = 'upsert_node'").select("id", "op.body"))
 
 
+def apply_edges(edges: DataFrame, ops: DataFrame) -> DataFrame:
+    """Edges after ops(seq, kind, src, dst), a set; the last op on a pair wins."""
+    last = ops.groupBy("src", "dst").agg(F.max_by("kind", "seq").alias("kind"))
+    return edges.select("src", "dst").join(last, ["src", "dst"], "left_anti").unionByName(last.filter("kind = 'upsert_edge'").select("src", "dst")).distinct()
+
+
 def merge_edges(base: DataFrame, ours: DataFrame, theirs: DataFrame) -> DataFrame:
     """(ours and theirs) or (ours without base) or (theirs without base), by one count of where each edge is."""
     tag = lambda df, b, o, t: df.select("src", "dst", F.lit(b).alias("b"), F.lit(o).alias("o"), F.lit(t).alias("t"))

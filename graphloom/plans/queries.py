@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import numeric, text
 from ..graph import Graph, build
 from ..operators import analytics as A
-from ..operators import filters, generators, layout, search, versions
+from ..operators import filters, forces, layout, search, versions
+from .tables import fresh, kept
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -32,6 +33,11 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def users(spark: SparkSession, sf_dir: str) -> Graph:
+    """The graph of users, stored once for an application and state of the table."""
+    return kept(spark, "users", f"{sf_dir}/events.parquet", lambda: _users(spark, sf_dir))
+
+
+def _users(spark: SparkSession, sf_dir: str) -> Graph:
     e = _t(spark, sf_dir, "events").select("event_id", "user_id")
     pairs = e.select((F.col("event_id") + 1).alias("event_id"), F.col("user_id").alias("src")).join(e.withColumnRenamed("user_id", "dst"), "event_id").select("src", "dst")
     g = build(e.select(F.col("user_id").alias("id")).distinct(), pairs, "id")
@@ -70,14 +76,14 @@ def _rank_sql(rounds: int, links: str) -> str:
     return out + f" SELECT idx, round(r, 10) AS pagerank FROM r{rounds}"
 
 
-@query(_rank_sql(8, "g"))
+@query(_rank_sql(50, "g"))
 def metric_pagerank(spark, d):
-    return A.pagerank(users(spark, d), 0.85, 8).select("idx", F.round("pagerank", 10).alias("pagerank"))
+    return A.pagerank(users(spark, d)).select("idx", F.round("pagerank", 10).alias("pagerank"))
 
 
-@query(_rank_sql(4, "adj"))
+@query(_rank_sql(50, "adj"))
 def metric_pagerank_symmetric(spark, d):
-    return A.pagerank(users(spark, d), 0.85, 4, symmetric=True).select("idx", F.round("pagerank", 10).alias("pagerank"))
+    return A.pagerank(users(spark, d), symmetric=True).select("idx", F.round("pagerank", 10).alias("pagerank"))
 
 
 @query("""WITH RECURSIVE n AS (SELECT 'c' || c_custkey AS id, c_custkey AS k FROM customer)
@@ -95,10 +101,11 @@ def metric_components(spark, d):
     return roots.join(g.nodes, "idx").join(names, "component").select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("id"), "root")
 
 
-@query(f"""WITH RECURSIVE {G}, b AS (SELECT 0::BIGINT AS idx, 0 AS distance UNION SELECT nb.dst, b.distance + 1 FROM b JOIN nb ON nb.src = b.idx WHERE b.distance < 3)
+@query(f"""WITH RECURSIVE {G}, b AS (SELECT 0::BIGINT AS idx, 0 AS distance UNION SELECT nb.dst, b.distance + 1 FROM b JOIN nb ON nb.src = b.idx WHERE b.distance < 40)
  SELECT n.idx, min(b.distance) AS distance FROM n LEFT JOIN b USING (idx) GROUP BY 1""")
-def metric_bfs_three_hops(spark, d):
-    return A.bfs(users(spark, d), 0, most=3).select("idx", F.col("distance").cast("int").alias("distance"))
+def metric_bfs(spark, d):
+    """Hops from the first node; the SQL's bound is beyond any distance of this graph."""
+    return A.bfs(users(spark, d), 0).select("idx", F.col("distance").cast("int").alias("distance"))
 
 
 _STRENGTH = f"""WITH {G}, p AS (SELECT DISTINCT least(src, dst) AS u, greatest(src, dst) AS v FROM g WHERE src <> dst),
@@ -126,19 +133,28 @@ def metric_spmv(spark, d):
     return A.spmv(m, x).select("row", F.round("y", 4).alias("y"))
 
 
-@query("""WITH o AS (SELECT src, dst, 'Out' AS k FROM (SELECT 0::BIGINT AS src, unnest([1, 2, 3])::BIGINT AS dst)) SELECT dst AS idx, k AS direction FROM o UNION ALL SELECT unnest([47, 48, 49])::BIGINT, 'In'""")
-def graph_neighbourhood(spark, d):
-    return generators.ring(spark, 50, 3).neighbourhood(0)
+@query()
+def metric_core_numbers(spark, d):
+    return A.core_numbers(users(spark, d))
 
 
-@query("SELECT range AS idx, 6::BIGINT AS core FROM range(200)")
-def metric_core_numbers(spark, d):
-    return A.core_numbers(generators.ring(spark, 200, 3))
+def _betweenness_sql(hops: int) -> str:
+    """Brandes by levels from the first 500 nodes; hops: as many levels as the graph can have."""
+    out = f"WITH {G}, m AS (SELECT src, dst, count(*)::DOUBLE AS m FROM adj GROUP BY 1, 2), c AS (SELECT count(*) AS n FROM n), l0 AS MATERIALIZED (SELECT idx AS s, idx, 1.0::DOUBLE AS g FROM n WHERE idx < 500), v0 AS (SELECT s, idx FROM l0)"
+    for k in range(hops):
+        out += f""", l{k + 1} AS MATERIALIZED (SELECT l.s, m.dst AS idx, sum(l.g * m.m) AS g FROM l{k} l JOIN m ON m.src = l.idx ANTI JOIN v{k} v ON v.s = l.s AND v.idx = m.dst GROUP BY 1, 2),
+ v{k + 1} AS MATERIALIZED (SELECT * FROM v{k} UNION ALL SELECT s, idx FROM l{k + 1})"""
+    out += f", d{hops} AS (SELECT s, idx, g, 0.0::DOUBLE AS d FROM l{hops})"
+    for k in reversed(range(hops)):
+        out += f""", d{k} AS MATERIALIZED (SELECT l.s, l.idx, l.g, coalesce(sum(l.g * m.m * (1 + w.d) / w.g), 0) AS d FROM l{k} l LEFT JOIN (m JOIN d{k + 1} w ON w.idx = m.dst) ON m.src = l.idx AND w.s = l.s GROUP BY 1, 2, 3)"""
+    every = " UNION ALL ".join(f"SELECT s, idx, d FROM d{k}" for k in range(hops + 1))
+    return out + f""", t AS (SELECT idx, sum(d) AS d FROM ({every}) WHERE s <> idx GROUP BY 1)
+ SELECT n.idx, round(coalesce(t.d, 0) * (CASE WHEN c.n > 2 THEN 1.0 / ((c.n - 1) * (c.n - 2)) ELSE 1 END) * (c.n::DOUBLE / greatest(1, least(500, c.n))), 9) AS betweenness FROM n CROSS JOIN c LEFT JOIN t USING (idx)"""
 
 
-@query()
+@query(_betweenness_sql(8))
 def metric_betweenness(spark, d):
-    return A.betweenness(generators.grid(spark, 8, 8), 64).select("idx", F.round("betweenness", 9).alias("betweenness"))
+    return A.betweenness(users(spark, d)).select("idx", F.round("betweenness", 9).alias("betweenness"))
 
 
 @query()
@@ -148,16 +164,19 @@ def metric_kcore_sweep(spark, d):
 
 @query()
 def metric_louvain(spark, d):
-    """Communities of five cliques of 20 in a ring."""
-    e = spark.range(100).select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(0), F.lit(19))).alias("o")).select("src", (F.floor(F.col("src") / 20) * 20 + F.col("o")).alias("dst")).filter("src < dst")
-    e = e.unionAll(spark.range(5).select((F.col("id") * 20).alias("src"), ((F.col("id") * 20 + 21) % 100).alias("dst")))
-    nodes = spark.range(100).select(F.col("id").alias("idx"), F.col("id").cast("string").alias("id"))
-    return A.louvain(Graph(nodes, e.select(F.monotonically_increasing_id().alias("eidx"), "src", "dst")))
+    return A.louvain(users(spark, d))
 
 
-@query()
+def _labels_sql(passes: int) -> str:
+    out = f"WITH {G}, p0 AS (SELECT idx, idx AS label FROM n)"
+    for k in range(passes):
+        out += f""", p{k + 1} AS MATERIALIZED (SELECT p.idx, coalesce(b.label, p.label) AS label FROM p{k} p LEFT JOIN (SELECT src, label FROM (SELECT a.src, q.label, row_number() OVER (PARTITION BY a.src ORDER BY count(*) DESC, q.label) AS r FROM adj a JOIN p{k} q ON q.idx = a.dst GROUP BY 1, 2) WHERE r = 1) b ON b.src = p.idx)"""
+    return out + f" SELECT idx, dense_rank() OVER (ORDER BY f) - 1 AS label FROM (SELECT idx, min(idx) OVER (PARTITION BY label) AS f FROM p{passes})"
+
+
+@query(_labels_sql(10))
 def metric_label_propagation(spark, d):
-    return A.label_propagation(users(spark, d), 4)
+    return A.label_propagation(users(spark, d))
 
 
 @query("""SELECT 'o_orderstatus' AS field, o_orderstatus AS value, count(*) AS nodes FROM orders GROUP BY 2 UNION ALL SELECT 'o_orderpriority', trim(o_orderpriority), count(*) FROM orders GROUP BY 2""")
@@ -198,9 +217,17 @@ def tag_hierarchy(spark, d):
  SELECT doc_id AS idx, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / a))), 9) AS score
  FROM p JOIN f USING (term) JOIN l USING (doc_id) CROSS JOIN s GROUP BY 1 HAVING count(*) = 2""")
 def search_matches(spark, d):
-    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("idx"), "text")
-    index = search.build(docs, {"text": 1.0})
-    return search.score(index, "the of", {"text"}).select("idx", F.round("score", 9).alias("score"))
+    return search.score(documents_index(spark, d), "the of", {"text"}).select("idx", F.round("score", 9).alias("score"))
+
+
+def documents_index(spark, d, stemming: bool = False) -> search.Index:
+    """The index of documents, stored once for an application and state of the table."""
+
+    def make() -> search.Index:
+        docs = _t(spark, d, "documents").select(F.col("doc_id").alias("idx"), "text")
+        return search.store(search.build(docs, {"text": 1.0}, stemming=stemming), fresh(spark, "index"))
+
+    return kept(spark, f"index-{stemming}", f"{d}/documents.parquet", make)
 
 
 @query("""SELECT o_orderkey, 'h256:' || left(sha256(o_orderpriority || o_orderkey), 32) AS content, 'c-' || left(sha256(o_orderstatus || chr(0) || o_orderkey || chr(0)), 16) AS change,
@@ -225,19 +252,13 @@ def layout_concentric(spark, d):
     return layout.concentric(s).select("idx", "ring", (F.round("x", 6) + 0.0).alias("x"), (F.round("y", 6) + 0.0).alias("y"))
 
 
-@query("""SELECT range AS idx, round((range % 10 - 4.5::DOUBLE) * 10, 6) AS x, round((range // 10 - 4.5::DOUBLE) * 10, 6) AS y, 0.0::DOUBLE AS z FROM range(100)""")
-def layout_grid(spark, d):
-    return layout.grid(spark.range(100).withColumnRenamed("id", "idx"), 100)
+_GRID = """z AS (SELECT count(*) AS n, ceil(sqrt(count(*)))::BIGINT AS cols FROM n), pt AS (SELECT idx, (idx % cols - (cols - 1) / 2::DOUBLE) * 10 AS x, (idx // cols - (greatest(1, ceil(n / cols)) - 1) / 2::DOUBLE) * 10 AS y FROM n, z)"""
 
 
-@query("SELECT 0.0::DOUBLE AS cv, 0::BIGINT AS crossings, 0.0::DOUBLE AS stress")
-def layout_quality(spark, d):
-    """A grid laid out as a grid: equal edges, no crossing; a path on a line has no stress."""
-    g = generators.grid(spark, 10, 10)
-    pos = layout.grid(g.nodes, 100)
-    line = spark.sql("SELECT explode(array(1.0D, 2.0D, 3.0D, 1.0D, 2.0D, 1.0D)) AS d").select("d", (F.col("d") * 3).alias("apart"))
-    stress = layout.stress(line).select(F.round("stress", 9).alias("stress"))
-    return layout.length_variation(g, pos).select(F.round("cv", 9).alias("cv")).crossJoin(layout.crossings(g, pos, 20.0)).crossJoin(stress)
+@query(f"WITH {G}, {_GRID} SELECT idx, round(x, 6) AS x, round(y, 6) AS y, 0.0::DOUBLE AS z FROM pt")
+def layout_grid(spark, d):
+    g = users(spark, d)
+    return layout.grid(g.nodes, g.nodes.count()).select("idx", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "z")
 
 
 def _bodies(spark, d):
@@ -286,10 +307,17 @@ def stream_latest(spark, d):
     return e.groupBy(F.col("event_type").alias("id")).agg(F.max_by("event_id", "event_id").alias("frame"), F.count("*").alias("frames"))
 
 
-@query()
+def _spring_sql(steps: int) -> str:
+    out = f"WITH {G}, c AS (SELECT count(*) AS n FROM n), s0 AS (SELECT idx, cos(idx * 2 * pi() / n) * (200 + 4 * sqrt(n)) AS x, sin(idx * 2 * pi() / n) * (200 + 4 * sqrt(n)) AS y, 0.0::DOUBLE AS vx, 0.0::DOUBLE AS vy FROM n, c)"
+    for k in range(steps):
+        out += f""", f{k} AS (SELECT a.idx, count(*) AS deg, sum(q.f * (b.x - a.x)) AS fx, sum(q.f * (b.y - a.y)) AS fy FROM adj e JOIN s{k} a ON a.idx = e.src JOIN s{k} b ON b.idx = e.dst, LATERAL (SELECT greatest(sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2), 1e-9) AS d) r, LATERAL (SELECT 0.05 * (r.d - 30) / r.d AS f) q GROUP BY 1),
+ v{k} AS (SELECT s.idx, s.x, s.y, (s.vx * 0.9 + 0.1 * coalesce(fx, 0)) / (1 + 0.1 * 0.05 * coalesce(deg, 0)) AS vx, (s.vy * 0.9 + 0.1 * coalesce(fy, 0)) / (1 + 0.1 * 0.05 * coalesce(deg, 0)) AS vy FROM s{k} s LEFT JOIN f{k} USING (idx)),
+ s{k + 1} AS MATERIALIZED (SELECT idx, x + 0.1 * vx AS x, y + 0.1 * vy AS y, vx, vy FROM v{k})"""
+    return out + f" SELECT idx, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y FROM s{steps}"
+
+
+@query(_spring_sql(5))
 def layout_spring(spark, d):
-    g = generators.grid(spark, 6, 6)
-    state = layout.grid(g.nodes, 36).select("idx", "x", "y", "z", *(F.lit(0.0).alias("v" + c) for c in "xyz"))
-    for _ in range(3):
-        state = layout.spring_step(g, state, rest=10.0)
-    return state
+    """Five steps of the spring engine."""
+    pos = forces.engine("cpu-spring").init(users(spark, d)).run(5)
+    return pos.select("idx", *((F.round(c, 6) + 0.0).alias(c) for c in "xy"))

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import numeric, text
 from ..graph import Graph, build, integrity
 from ..operators import analytics as A
-from ..operators import filters, generators, layout, lens, partition, search, versions
+from ..operators import filters, layout, lens, partition, search, versions
 from ..sources import bundles, files, links, notes
 from ..streaming import snapshots
-from .queries import G, _t, query, users
+from .queries import _GRID, G, _t, documents_index, query, users
 
 
 def hierarchy(spark: SparkSession, d: str) -> Graph:
@@ -257,9 +257,9 @@ def scalar_titles(spark, d):
     return _t(spark, d, "documents").select("doc_id", text.title(F.col("text"), F.col("doc_id").cast("string"), 40, "Document").alias("title"))
 
 
-@query("""SELECT page_id, replace(replace(replace(replace(left(html, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS safe, left(regexp_extract(url, '([^/]*)$', 1), 24) AS short FROM pages""")
+@query("""SELECT page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS safe, left(regexp_extract(url, '([^/]*)$', 1), 24) AS short FROM pages""")
 def scalar_escaped(spark, d):
-    return _t(spark, d, "pages").select("page_id", text.escaped(F.left("html", F.lit(200))).alias("safe"), text.short_id(F.col("url")).alias("short"))
+    return _t(spark, d, "pages").select("page_id", text.escaped(F.col("html")).alias("safe"), text.short_id(F.col("url")).alias("short"))
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.k') = '7' AS skipped FROM events")
@@ -272,8 +272,7 @@ def scalar_pointer(spark, d):
  SELECT doc_id AS idx, round(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / a)), 9) AS score FROM p JOIN l USING (doc_id), s, f ORDER BY 2 DESC, 1 LIMIT 50""")
 def search_ranked(spark, d):
     """The 50 best documents for one word: the limit is the feature."""
-    index = search.build(_t(spark, d, "documents").select(F.col("doc_id").alias("idx"), "text"), {"text": 1.0})
-    return search.rank(index, "the", {"text"}).select("idx", F.round("score", 9).alias("score"))
+    return search.rank(documents_index(spark, d), "the", {"text"}).select("idx", F.round("score", 9).alias("score"))
 
 
 @query()
@@ -360,20 +359,17 @@ def stream_since(spark, d):
     return snapshots.since(_t(spark, d, "events").select(F.col("event_id").alias("seq"), "event_type"), 50)
 
 
-@query("SELECT range AS idx, (CASE WHEN range = 0 THEN 99 ELSE 1 END)::BIGINT AS degree FROM range(100)")
-def graph_star(spark, d):
-    return A.degrees(generators.star(spark, 100)).select("idx", "degree")
-
-
-@query()
+@query(f"""WITH {G}, {_GRID}, p AS (SELECT a.src AS centre, a.dst AS a, b.dst AS b, row_number() OVER (PARTITION BY a.src ORDER BY a.dst, b.dst) - 1 AS k, count(*) OVER (PARTITION BY a.src) AS m FROM nb a JOIN nb b ON b.src = a.src AND a.dst < b.dst),
+ q AS (SELECT p.*, u.x - o.x AS ux, u.y - o.y AS uy, v.x - o.x AS vx, v.y - o.y AS vy FROM p JOIN pt o ON o.idx = centre JOIN pt u ON u.idx = a JOIN pt v ON v.idx = b WHERE k % greatest(m // 64, 1) = 0)
+ SELECT centre, a, b, round(acos(greatest(-1, least(1, (ux * vx + uy * vy) / greatest(sqrt((ux * ux + uy * uy) * (vx * vx + vy * vy)), 1e-12)))) * 180 / pi(), 3) AS degrees FROM q""")
 def layout_angles(spark, d):
-    g = generators.grid(spark, 20, 20)
-    return layout.angles(g, layout.grid(g.nodes, 400)).select("centre", "a", "b", F.round(F.col("angle") * 180 / math.pi, 6).alias("degrees"))
+    g = users(spark, d)
+    return layout.angles(g, layout.grid(g.nodes, g.nodes.count())).select("centre", "a", "b", F.round(F.col("angle") * 180 / math.pi, 3).alias("degrees"))
 
 
-@query(f"WITH {G}, k AS (SELECT src AS idx, count(*) AS n FROM adj GROUP BY 1), a AS (SELECT n.idx, coalesce(k.n, 0) AS size FROM n LEFT JOIN k USING (idx)) SELECT idx, sum(size) OVER (ORDER BY idx)::BIGINT - size AS start, size FROM a")
+@query(f"WITH {G}, k AS (SELECT src AS idx, count(*) AS n FROM adj GROUP BY 1), a AS (SELECT n.idx, coalesce(k.n, 0) AS size FROM n LEFT JOIN k USING (idx)), t AS (SELECT src AS idx, string_agg(dst, ',' ORDER BY dst) AS targets FROM adj GROUP BY 1) SELECT idx, sum(size) OVER (ORDER BY idx)::BIGINT - size AS start, size, coalesce(targets, '') AS targets FROM a LEFT JOIN t USING (idx)")
 def sink_csr_rows(spark, d):
-    return files.csr_rows(users(spark, d)).select("idx", "start", F.size("targets").cast("long").alias("size"))
+    return files.csr_rows(users(spark, d)).select("idx", "start", F.size("targets").cast("long").alias("size"), F.array_join(F.array_sort("targets"), ",").alias("targets"))
 
 
 @query("SELECT s_suppkey::VARCHAR AS id, s_name AS title, 's' || s_nationkey AS kind, s_acctbal::VARCHAR AS balance FROM supplier")
@@ -395,4 +391,4 @@ def source_concepts(spark, d):
 
 @query()
 def layout_spectral(spark, d):
-    return layout.spectral(users(spark, d), 5)
+    return layout.spectral(users(spark, d))

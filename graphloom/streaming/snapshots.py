@@ -37,14 +37,15 @@ class Snapshots:
 
 
 def refresh(changes: DataFrame, rebuild: Callable[[DataFrame], DataFrame], snapshots: Snapshots, checkpoint: str, interval: str = "400 milliseconds", once: bool = False):
-    """Start a query that rebuilds on each micro-batch of a streaming DataFrame; a failed rebuild keeps the last snapshot."""
+    """Start a query that rebuilds on each micro-batch of a streaming DataFrame.
+
+    A failed rebuild ends the query with its error; the last snapshot stays published, and as the micro-batch is not
+    committed, its changes come again when the query is started anew.
+    """
 
     def batch(df: DataFrame, number: int) -> None:
         if df.limit(1).count():
-            try:
-                snapshots.publish(rebuild(df), number + 1)
-            except (ValueError, ArithmeticError):
-                pass
+            snapshots.publish(rebuild(df), number + 1)
 
     writer = changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()

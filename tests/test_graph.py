@@ -95,19 +95,21 @@ def test_dense_index_and_integrity(spark):
 
 @pytest.fixture(scope="module")
 def facets(spark):
-    return spark.createDataFrame([(0, ["rust"], "active"), (1, ["rust", "gpu"], "archived"), (2, ["gpu"], "active"), (3, ["rust"], "archived")], "idx bigint, tags array<string>, status string")
+    return spark.createDataFrame([(0, ["oak"], "open"), (1, ["oak", "elm"], "shut"), (2, ["elm"], "open"), (3, ["oak"], "shut"), (4, ["ash", "elm"], "open")], "idx bigint, tags array<string>, status string")
 
 
 @pytest.mark.parametrize(
     ("tree", "want"),
     [
-        (filters.Group("all", (filters.Group("any", (filters.Rule("tags", "eq", "rust"), filters.Rule("tags", "eq", "gpu"))), filters.Rule("status", "eq", "archived", negated=True))), {0, 2}),
-        (filters.Group("all", (filters.Rule("tags", "eq", "missing"),)), set()),
-        (filters.Group(), {0, 1, 2, 3}),
-        (filters.Group("all", (filters.Rule("tags", "neq", "rust"),)), {2}),
+        (filters.Group("all", (filters.Group("any", (filters.Rule("tags", "eq", "oak"), filters.Rule("tags", "eq", "ash"))), filters.Rule("status", "eq", "shut", negated=True))), {0, 4}),
+        (filters.Group("all", (filters.Rule("tags", "eq", "fir"),)), set()),
+        (filters.Group(), {0, 1, 2, 3, 4}),
+        (filters.Group("all", (filters.Rule("tags", "neq", "oak"),)), {2, 4}),
         (filters.Group("all", (filters.Rule("nope", "neq", "x"),)), set()),
-        (filters.Group("any", (filters.Rule("tags", "contains", "GP"), filters.Rule("status", "matches", "^act"))), {0, 1, 2}),
+        (filters.Group("any", (filters.Rule("tags", "contains", "AS"), filters.Rule("status", "matches", "^sh"))), {1, 3, 4}),
         (filters.Group("all", (filters.Rule("status", "matches", "("),)), set()),
+        (filters.Group("all", (filters.Rule("status", "matches", "(?P<x>o)"),)), set()),  # Python's, not the JVM's
+        (filters.Group("all", (filters.Rule("status", "matches", "\\p{javaLowerCase}pen"),)), {0, 2, 4}),  # the JVM's, not Python's
         (filters.Group("any", (filters.Rule("", "search", "a"), filters.Rule("", "search", "b"))), {0, 1, 2}),
     ],
 )
@@ -117,22 +119,57 @@ def test_filter_trees(facets, tree, want):
 
 
 def test_filter_counts_problems_and_edits(facets):
-    tree = filters.from_chips({"tag": ["rust", "gpu"], "status": ["active"]})
+    tree = filters.from_chips({"tag": ["oak", "elm"], "status": ["open"]})
     f = filters.Filter(tree, ("tags", "status"))
-    assert f.counts(facets).first().asDict() == {"root": 2, "root_0": 4, "root_0_0": 3, "root_0_1": 2, "root_1": 2, "root_1_0": 2}
-    assert filters.active_equalities(tree) == {("tags", "rust"), ("tags", "gpu"), ("status", "active")}
+    assert f.counts(facets).first().asDict() == {"root": 3, "root_0": 5, "root_0_0": 3, "root_0_1": 3, "root_1": 3, "root_1_0": 3}
+    assert filters.active_equalities(tree) == {("tags", "oak"), ("tags", "elm"), ("status", "open")}
     smaller = filters.edit(tree, (1, 0), lambda _: None)
     assert len(smaller.children) == 1
-    assert filters.Filter(filters.Group("all", (filters.Group(), filters.Rule("x", "eq", "1"), filters.Rule("tags", "eq", " "))), ("tags",)).problems() == [("root_0", "empty group"), ("root_1", "unknown field"), ("root_2", "blank value")]
+    assert filters.Filter(filters.Group("all", (filters.Group(), filters.Rule("x", "eq", "1"), filters.Rule("tags", "eq", " "), filters.Rule("tags", "matches", "["))), ("tags",)).problems() == [("root_0", "empty group"), ("root_1", "unknown field"), ("root_2", "blank value"), ("root_3", "bad pattern")]
 
 
-def test_search(spark):
-    docs = spark.createDataFrame([(0, "Customer orders", ["finance", "revenue"], "BigQuery Table"), (1, "Incident response", ["oncall"], "Playbook")], "idx bigint, title string, tags array<string>, kind string")
-    index = search.build(docs, {"title": 2.0}, {"tags": 1.0, "kind": 1.0})
-    ask = lambda q: [r.idx for r in search.rank(index, q, {"title"}).collect()]
-    assert ask("tags:revenue") == [0] and ask("kind:Playbook") == [1] and ask("tags:rev") == [] and ask("orders customer") == [0] and ask("orders response") == [] and ask("") == []
+def test_filter_trees_are_added_to_moved_and_switched(spark):
+    a, b, c = (filters.Rule("tags", "eq", x) for x in "abc")
+    tree = filters.Group("all", (filters.Group("any", (a, b)), c))
+    assert filters.insert(tree, (0,), 1, c).children[0].children == (a, c, b)
+    assert filters.move(tree, (1,), (0,), 0) == filters.Group("all", (filters.Group("any", (c, a, b)),))
+    assert filters.move(tree, (0, 0), (), 2) == filters.Group("all", (filters.Group("any", (b,)), c, a))
+    lone = filters.Group("all", (filters.Group("any", (a,)), c))
+    assert filters.move(lone, (0, 0), (), 0) == filters.Group("all", (a, c))  # the emptied group goes
     with pytest.raises(ValueError):
-        ask("secret:value")
+        filters.move(tree, (0,), (0,), 0)
+    assert not filters.toggled(tree, (1,)).children[1].enabled and filters.toggled(filters.toggled(tree, (1,)), (1,)) == tree
+    assert filters.cleared(tree).children == ()
+
+
+@pytest.fixture(scope="module")
+def shelf(spark):
+    rows = [(0, "Growing pears and plums", ["fruit", "tree"], "Manual"), (1, "Plum trees grow slowly; pear trees do not", ["tree"], "Note"), (2, "Boats of the river", ["water"], "Note"), (3, None, [], None)]
+    return spark.createDataFrame(rows, "idx bigint, title string, tags array<string>, kind string")
+
+
+def test_search(shelf, tmp_path):
+    index = search.build(shelf, {"title": 2.0}, {"tags": 1.0, "kind": 1.0})
+    for index in (index, search.store(index, str(tmp_path / "index"))):
+        ask = lambda q, i=index: sorted(r.idx for r in search.rank(i, q, {"title"}).collect())
+        assert ask("tags:tree") == [0, 1] and ask("kind:Note") == [1, 2] and ask("tags:tre") == [] and ask("river boats") == [2] and ask("river plums") == [] and ask("") == []
+        assert ask('"of the river"') == [2] and ask('"river the"') == [] and ask('title:"pear trees"') == [1]
+        assert ask("pears OR river") == [0, 2] and ask("kind:Note -river") == [1] and ask("kind:Note NOT title:trees") == [2] and ask("tags:tree OR tags:water AND kind:Note") == [1, 2]
+        assert ask("NOT river") == [] and ask("pears tree") == [0]  # a word may match in any field
+        with pytest.raises(ValueError):
+            ask("nofield:value")
+    top = search.rank_with_total(index, "kind:Note", {"title"}, 1).collect()
+    assert len(top) == 1 and top[0].total == 2
+
+
+def test_stemming(spark, shelf):
+    pairs = "walk walks walked walking,stone stones,plum plums,grow growing grows,hop hopping hopped,hope hoping hoped,pony ponies,kindness kind,relational relate,sized sizing size,the the,is is".split(",")
+    for p in pairs:
+        forms = spark.createDataFrame([(w,) for w in p.split()], "w string").select(search.stem(F.col("w")).alias("s")).collect()
+        assert len({r.s for r in forms}) == 1, p
+    index = search.build(shelf, {"title": 1.0}, stemming=True)
+    assert sorted(r.idx for r in search.score(index, "grow pear", {"title"}).collect()) == [0, 1]
+    assert [r.idx for r in search.score(index, '"pear and plum"', {"title"}).collect()] == [0]
 
 
 def test_layouts(spark):
@@ -172,7 +209,7 @@ def test_notes(spark):
 
 
 def test_text_functions(spark):
-    assert text.wikilinks("See [[Some Page]] and [[Other|alias]] and [[Heading#Section]]. [[ ]] [[open") == ["Some Page", "Other", "Heading", "open"]
+    assert text.wikilinks("To [[North Pier]], [[Mill|the mill]], then [[Quay#Steps]]; [[ ]] [[open") == ["North Pier", "Mill", "Quay", "open"]
     assert text.fuzzy_score("ab", "xxab") == 7 and text.fuzzy_score("ba", "ab") is None
     row = spark.createDataFrame([('{"a":{"b/c":[" x "]}}', "Hello, World!", "a/b/c", "OPS-12")], "j string, t string, g string, k string")
     got = row.select(text.pointer(F.col("j"), "/a/b~1c/0").alias("p"), text.slug(F.col("t")).alias("s"), text.tag_branches(F.col("g")).alias("b"), text.kind_of(F.col("k")).alias("k"), text.fuzzy("hw")(F.col("t")).alias("f")).first()
@@ -221,7 +258,35 @@ def test_generators(spark):
     assert generators.subdivide(g).count() == 6 and isinstance(generators.clustered(spark, 20, 50, 4, 0.9), Graph)
 
 
-def test_entry_is_whole_without_the_subpackage():
-    import __spark_entry__ as e
+def test_refresh_does_not_lose_what_failed(spark, tmp_path):
+    from graphloom.streaming import snapshots as S
+
+    store, folder, broken = S.Snapshots(spark, str(tmp_path / "store")), str(tmp_path / "in"), [True]
+    spark.range(5).write.parquet(folder)
 
-    assert set(e.oracle_sql()) <= set(e.queries()) and "metric_pagerank" in e.queries()
+    def rebuild(df):
+        if broken[0]:
+            raise ValueError("not now")
+        return df
+
+    start = lambda: S.refresh(spark.readStream.schema("id bigint").parquet(folder), rebuild, store, str(tmp_path / "cp"), once=True)
+    with pytest.raises(Exception, match="not now"):
+        start().awaitTermination(60)
+    assert store.revision() is None
+    broken[0] = False
+    start().awaitTermination(60)
+    assert store.read().count() == 5
+
+
+def test_entry_is_whole_without_the_subpackage(tmp_path):
+    """In a copy without the corpus operators the entry point still has the others."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).parent.parent
+    shutil.copytree(root / "graphloom", tmp_path / "graphloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()) and 'metric_pagerank' in e.queries() and not any(k.startswith('op') or k == 'pipeline' for k in e.queries())"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "", "PYTHONPATH": str(tmp_path)})
