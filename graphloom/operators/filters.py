@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +33,7 @@ def is_pattern(value: str) -> bool:
     jvm = SparkSession.active().sparkContext._jvm
     try:
         jvm.java.util.regex.Pattern.compile(value)
-    except Py4JJavaError:
+    except IllegalArgumentException:
         return False
     return True
 

@@ -62,7 +62,7 @@ def stem(word: Column) -> Column:
         step = F.transform(step, by_group(k))
         if k == 1:
             step = F.transform(step, lambda x: F.regexp_replace(x, "(?<=.[^aeiou])y$", "i"))
-    step = F.transform(step, lambda x: F.regexp_replace(x, "(?<=.{4})e$", ""))
+    step = F.transform(step, lambda x: F.regexp_replace(x, "(?<=.{3})e$", ""))
     return F.when(F.length(word) <= 2, word).otherwise(step[0])
 
 
