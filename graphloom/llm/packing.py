@@ -37,7 +37,7 @@ def _cut(batches: Iterator[pa.RecordBatch], vocab, end_id: int, capacity: int) -
     part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
     encoder = json_encoder(vocab.value.decode())
     for batch in text_batches(batches, "text", 3 << 20):
-        ids, counts = encoder.encode(batch.column("text").to_pylist())
+        ids, counts = encoder.encode(batch.column("text"))
         data, rows, at = ids.astype("<u4").tobytes(), [], 0
         for doc_id, n in zip(batch.column("doc_id").to_pylist(), counts.tolist(), strict=True):
             own, at = data[4 * at : 4 * (at + n)] + end_id.to_bytes(4, "little"), at + n

@@ -90,9 +90,9 @@ def _stripes(batches: Iterator[pa.RecordBatch], vocab, end_id: int) -> Iterator[
         row = part, nth, before, waiting, [x for d, _, _ in held for x in d], np.cumsum(counts) - counts, np.concatenate([i for _, _, i in held]).astype("<u4").tobytes()
         return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _STRIPES.types, strict=True)], schema=_STRIPES)
 
-    for batch in text_batches(batches, "text", 3 << 20):
+    for batch in text_batches(batches, "text", 6 << 20):
         doc_ids = batch.column("doc_id").to_pylist()
-        ids, counts = encoder.encode(batch.column("text").to_pylist())
+        ids, counts = encoder.encode(batch.column("text"))
         ids, counts = np.insert(ids, np.cumsum(counts), end_id), counts + 1
         ends, at = np.cumsum(counts), 0
         while at < len(counts):

@@ -1,4 +1,4 @@
-"""Token ids by a public tokenizer's vocabulary, each distinct space-led word encoded once per worker."""
+"""Token ids by a public tokenizer's vocabulary, each distinct piece of text encoded once per worker."""
 
 from __future__ import annotations
 
@@ -10,91 +10,159 @@ from collections.abc import Callable
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
 from .common import held
 
 #: White space other than space and newline (with the separators that regex dialects disagree on).
 ODD_SPACE = "\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0                　"
-#: Distinct words that a worker remembers.
-REMEMBER = 400_000
-#: Latin letters, then ASCII punctuation other than an apostrophe: led by a space, two pre-tokens of byte-level BPE.
-PLAIN = re.compile(r"""([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)""")
+#: Distinct pieces that a worker remembers, and the most bytes of one of them.
+REMEMBER, REMEMBERED_BYTES = 400_000, 64
+#: One pre-token of byte-level BPE: a line end, or Latin letters, digits or ASCII punctuation, led by a space or not.
+PLAIN = re.compile(r"""\n| ?(?:[A-Za-zÀ-ÖØ-öø-ɏ]+|[0-9]+|[!-&(-/:-@\[-`{-~]+)""")
 
 
 def splits_at_spaces(text: str) -> bool:
-    """Whether a pre-token begins at every space of text, so that space-led words can be encoded one by one."""
+    """Whether a pre-token begins at every space of text, so that it can be cut there."""
     return not ("  " in text or "\n \n" in text or text.endswith(" ") or any(c in text for c in ODD_SPACE))
 
 
-class _Numbers(dict):
-    """Numbers words in order of appearance; those not yet encoded wait in `fresh`."""
+#: Classes of bytes: all others, letters, digits, punctuation, apostrophes, line ends, spaces, first bytes of À to ɏ.
+OTHER, LETTER, DIGIT, MARK, QUOTE, LINE, SPACE, LEAD = range(8)
 
-    def __init__(self):
-        self.fresh: list[str] = []
 
-    def __missing__(self, word: str) -> int:
-        n = self[word] = len(self)
-        self.fresh.append(word)
-        return n
+def _byte_classes() -> np.ndarray:
+    kinds = np.full(256, OTHER, np.uint8)
+    kinds[33:127] = MARK
+    for kind, chars in ((DIGIT, "0-9"), (LETTER, "A-Z"), (LETTER, "a-z")):
+        kinds[ord(chars[0]) : ord(chars[2]) + 1] = kind
+    kinds[ord("'")], kinds[ord("\n")], kinds[ord(" ")], kinds[0xC3:0xCA] = QUOTE, LINE, SPACE, LEAD
+    return kinds
 
 
-class WordwiseEncoder:
-    """Ids of whole texts by an encoder that works pre-token by pre-token.
+def _class_cuts() -> np.ndarray:
+    """Whether a pre-token always begins between two bytes of these classes, the first times 8 plus the second."""
+    cuts = np.zeros((8, 8), bool)
+    cuts[:, SPACE] = True
+    cuts[[LETTER, DIGIT, MARK, QUOTE], LINE] = True
+    cuts[[LETTER, DIGIT], MARK] = cuts[[LETTER, DIGIT], QUOTE] = True
+    cuts[LETTER, DIGIT] = cuts[DIGIT, LETTER] = True
+    cuts[MARK, LETTER] = cuts[MARK, DIGIT] = True  # an apostrophe may begin a contraction: no cut after one
+    return cuts.ravel()
 
-    encode_many gives all ids of a list of strings and the number of each one's; encode_words the same for words, each
-    led by a space. Texts in which a space may not begin a pre-token go to encode_many as they are.
+
+KINDS, CUTS = _byte_classes(), _class_cuts()
+
+
+def cut_places(data: np.ndarray) -> np.ndarray:
+    """Where a pre-token of byte-level BPE certainly begins in UTF-8 bytes in which one begins at every space."""
+    kinds = KINDS[data]
+    lead = np.flatnonzero(kinds == LEAD)
+    lead = lead[lead + 1 < len(data)]
+    first, second = data[lead], data[lead + 1]
+    sign = (first == 0xC3) & ((second == 0x97) | (second == 0xB7)) | (first == 0xC9) & (second > 0x8F)  # × and ÷, and beyond ɏ
+    kinds[lead] = kinds[lead + 1] = np.where(sign, OTHER, LETTER)
+    cuts = np.zeros(len(data), bool)
+    cuts[1:] = CUTS[kinds[:-1] << 3 | kinds[1:]]
+    visible = (kinds >= LETTER) & (kinds <= QUOTE)
+    line = np.flatnonzero(kinds[1:-1] == LINE) + 1
+    cuts[line[visible[line - 1] & visible[line + 1]] + 1] = True  # after single line ends
+    return cuts
+
+
+class PieceEncoder:
+    """Ids of whole texts by an encoder whose results of pieces add up to those of the text.
+
+    encode_pieces gives all ids of a list of strings and the number of each one's. Texts are cut, in NumPy, where a
+    pre-token certainly begins (a text in which a space may not begin one stays whole); Arrow finds the distinct pieces of
+    a call, and only those become Python strings. Pieces of at most REMEMBERED_BYTES are encoded once; when more than
+    `remember` are known, those of the last call stay.
     """
 
-    def __init__(self, encode_many: Callable, encode_words: Callable, remember: int = REMEMBER):
-        self.encode_many, self.encode_words, self.remember = encode_many, encode_words, remember
-        self.forget()
+    def __init__(self, encode_pieces: Callable, remember: int = REMEMBER):
+        self.encode_pieces, self.remember = encode_pieces, remember
+        self.known: dict[str, int] = {}
+        self.last = np.zeros(0, np.int64)
+        self.lens, self.flat = np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def forget(self) -> None:
-        self.words = _Numbers()
-        self.lens, self.flat = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        """Keep the pieces of the last call only."""
+        starts, names = np.cumsum(self.lens) - self.lens, np.array([*self.known, None], object)
+        self.flat, self.lens = gather(self.flat, starts[self.last], self.lens[self.last]), self.lens[self.last]
+        self.known = {names[n]: k for k, n in enumerate(self.last.tolist())}
+        self.last = np.arange(len(self.last))
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after another, and the number of each text's."""
-        if len(self.words) > self.remember:
+        if len(self.known) > self.remember:
             self.forget()
+        texts = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
         gc.disable()  # hundreds of thousands of small lists, none in a cycle: looking for cycles took a third of the time
         try:
             return self._encode(texts)
         finally:
             gc.enable()
 
-    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        codes, sizes, heads = [], [], []  # a text is its head, encoded anew, and numbered words
-        for text in texts:
-            if splits_at_spaces(text):
-                head, *rest = text.split(" ")
-                codes += map(self.words.__getitem__, rest)
-            else:
-                head, rest = text, ()
-            heads.append(head)
-            sizes.append(len(rest))
-        if self.words.fresh:
-            ids, lens = self.encode_words(self.words.fresh)
-            self.lens, self.flat = np.concatenate([self.lens, lens]), np.concatenate([self.flat, ids])
-            self.words.fresh = []
-        head_ids, head_lens = self.encode_many(heads)
-        flat, lens = np.concatenate([self.flat, head_ids]), np.concatenate([self.lens, head_lens])
-        at = np.insert(np.array(codes, np.int64), np.cumsum([0, *sizes[:-1]]) if sizes else [], len(self.lens) + np.arange(len(texts)))
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        _, places, body = texts.buffers()
+        bounds = np.frombuffer(places, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        bounds, low = bounds - bounds[0], int(bounds[0])
+        if not bounds[-1]:
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        body = body.slice(low, int(bounds[-1]))
+        cuts = cut_places(np.frombuffer(body, np.uint8))
+        for i, text in enumerate(texts.to_numpy(zero_copy_only=False)):
+            if not splits_at_spaces(text):
+                cuts[bounds[i] : bounds[i + 1]] = False
+        cuts[bounds[:-1][bounds[:-1] < len(cuts)]] = True
+        firsts = np.flatnonzero(cuts)
+        offsets = np.append(firsts, bounds[-1])
+        pieces = pa.Array.from_buffers(pa.large_string(), len(firsts), [None, pa.py_buffer(offsets), body]).dictionary_encode()
+        flat, lens, code = self._numbered(pieces.dictionary)
+        at = code[pieces.indices.to_numpy()]
         own = lens[at]
-        ends = np.cumsum(np.array(sizes, np.int64) + 1)
-        counts = np.diff(np.concatenate([[0], np.cumsum(own)])[ends], prepend=0) if texts else np.zeros(0, np.int64)
+        ends = np.insert(np.cumsum(own), 0, 0)
+        counts = np.diff(ends[np.searchsorted(firsts, bounds)])
         return gather(flat, (np.cumsum(lens) - lens)[at], own), counts
 
+    def _numbered(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids at hand, how many each numbered piece has, and the numbers of these pieces."""
+        names = pieces.to_numpy(zero_copy_only=False)
+        long = np.diff(np.frombuffer(pieces.buffers()[1], np.int64)[pieces.offset : pieces.offset + len(pieces) + 1]) > REMEMBERED_BYTES
+        code = np.fromiter((self.known.get(p, -1) for p in names), np.int64, len(names))
+        fresh = np.flatnonzero((code < 0) & ~long)
+        if len(fresh):
+            code[fresh] = np.arange(len(self.lens), len(self.lens) + len(fresh))
+            own = names[fresh].tolist()
+            self.known.update(zip(own, code[fresh].tolist(), strict=True))
+            ids, lens = self.encode_pieces(own)
+            self.lens, self.flat = np.concatenate([self.lens, lens]), np.concatenate([self.flat, ids])
+        self.last = code[~long]
+        if not long.any():
+            return self.flat, self.lens, code
+        ids, lens = self.encode_pieces(names[long].tolist())
+        code[long] = len(self.lens) + np.arange(len(lens))
+        return np.concatenate([self.flat, ids]), np.concatenate([self.lens, lens]), code
+
 
 def gather(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """flat[starts[0] : starts[0] + lens[0]], then the next, in one array."""
     ends = np.cumsum(lens)
     total = int(ends[-1]) if len(ends) else 0
-    at = np.repeat(starts - (ends - lens), lens)
-    at += np.arange(total)
+    kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+    at = np.repeat((starts - (ends - lens)).astype(kind), lens)
+    at += np.arange(total, dtype=kind)
     return flat[at]
 
 
+class _WholeEncoder:
+    def __init__(self, encode_many: Callable):
+        self.encode_many = encode_many
+
+    def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return self.encode_many(texts.to_pylist() if isinstance(texts, pa.Array) else texts)
+
+
 def _byte_letters() -> dict[int, str]:
     """Byte-level BPE's letter for each byte: printable ones stand for themselves, the others for letters from 256 on."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -102,28 +170,14 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b if b in plain else next(others)) for b in range(256)}
 
 
-class _Parts(dict):
-    """Ids of pre-tokens, by the library's model; each is asked for once."""
-
-    def __init__(self, model, lead: str):
-        self.tokenize, self.lead, self.letters = model.tokenize, lead, _byte_letters()
-
-    def __missing__(self, part: str) -> list[int]:
-        if len(self) > REMEMBER:
-            self.clear()
-        own = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
-        ids = self[part] = [t.id for t in self.tokenize(self.lead + own)]
-        return ids
-
-
-def json_encoder(vocabulary: str) -> WordwiseEncoder:
+def json_encoder(vocabulary: str) -> PieceEncoder | _WholeEncoder:
     """This worker's encoder of a vocabulary in the tokenizers library's JSON (its content, not its path).
 
-    Where the vocabulary is one of byte-level BPE, plain words are cut into their pre-tokens here, and the library's model
-    is asked for each distinct one; all else goes through the library's whole chain.
+    Where the vocabulary is one of byte-level BPE, texts are cut into pieces here, and the library's model is asked for
+    each distinct plain one; all else goes through the library's whole chain.
     """
 
-    def make() -> WordwiseEncoder:
+    def make() -> PieceEncoder | _WholeEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -132,49 +186,27 @@ def json_encoder(vocabulary: str) -> WordwiseEncoder:
         rules = json.loads(vocabulary)
         cut = rules.get("pre_tokenizer") or {}
         byte_level = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and not rules.get("normalizer") and rules["model"].get("type", "BPE") == "BPE"
-
-        led = np.zeros(tokenizer.get_vocab_size(), bool)  # ids of tokens that begin with a space
-        for token, i in tokenizer.get_vocab().items():
-            led[i] = token[0] == "\u0120"
-        model = tokenizer.model
-        heads, tails = _Parts(model, "\u0120"), _Parts(model, "")
+        tokenize, letters = tokenizer.model.tokenize, _byte_letters()
 
         def encode_many(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             out = [np.array(e.ids, np.uint32) for i in range(0, len(texts), 2000) for e in tokenizer.encode_batch_fast(texts[i : i + 2000], add_special_tokens=False)]
             return np.concatenate([*out, np.zeros(0, np.uint32)]), np.fromiter(map(len, out), np.int64, len(out))
 
-        def in_lines(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            """Many words make one string: each begins a pre-token there, and with it a token that begins with a space."""
-            odd = {i for i, w in enumerate(words) if not w or "\n" in w}
-            plain = [w for i, w in enumerate(words) if i not in odd] if odd else words
-            ids, _ = encode_many([" " + " ".join(plain[k : k + 400]) for k in range(0, len(plain), 400)])
-            lens = np.diff(np.append(np.flatnonzero(led[ids]), len(ids)))
-            if not odd:
-                return ids, lens
-            more, own = encode_many([" " + words[i] for i in sorted(odd)])
-            where = np.array(sorted(odd)) - np.arange(len(odd))  # places among the plain words
-            starts = np.append(np.cumsum(lens) - lens, len(ids))[where]
-            return np.insert(ids, np.repeat(starts, own), more), np.insert(lens, where, own)
-
-        def encode_words(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            out: list = [None] * len(words)
-            odd = []
-            for i, found in enumerate(map(PLAIN.fullmatch, words)):
-                if found:
-                    head, tail = found.groups()
-                    out[i] = heads[head] + tails[tail] if tail else heads[head]
+        def encode_pieces(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            out: list = [None] * len(pieces)
+            others = []
+            for i, piece in enumerate(pieces):
+                if len(piece) <= REMEMBERED_BYTES and PLAIN.fullmatch(piece):
+                    out[i] = [t.id for t in tokenize(piece.encode().decode("latin-1").translate(letters))]
                 else:
-                    odd.append(i)
-            if odd:
-                ids, lens = in_lines([words[i] for i in odd])
-                flat, at = ids.tolist(), 0
-                for i, n in zip(odd, lens.tolist(), strict=True):
-                    out[i] = flat[at : at + n]
-                    at += n
+                    others.append(i)
+            ids, lens = encode_many([pieces[i] for i in others])
+            for i, own in zip(others, np.split(ids, np.cumsum(lens)[:-1]), strict=True) if others else ():
+                out[i] = own.tolist()
             lens = np.fromiter(map(len, out), np.int64, len(out))
             return np.fromiter(chain.from_iterable(out), np.uint32, int(lens.sum())), lens
 
-        return WordwiseEncoder(encode_many, encode_words if byte_level else in_lines)
+        return PieceEncoder(encode_pieces) if byte_level else _WholeEncoder(encode_many)
 
     return held(("encoder", hash(vocabulary)), make)
 

@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -141,6 +142,26 @@ def test_op1_round_trip(spark, folder, docs, tokenizer):
     assert sorted(map(tuple, _run(spark, folder, "op1"))) == sorted(want)
 
 
+def test_pieces_add_up_to_whole_texts(tokenizer):
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from graphloom.llm.tokens import json_encoder
+
+    parts = ["a", "b1", "É", "ɏ", "ɐ", "×", "ª", "'", "'s", ",", ".", "\n", "\n\n", " ", "  ", "\t", "\u3000", "€", "日本", "12", "[", "<|endoftext|>", "x" * 70, ""]
+    rng = random.Random(5)
+    texts = ["".join(rng.choices(parts, k=rng.randrange(12))) for _ in range(4000)]
+    texts += [f"{x}{y}{z}" for x in parts for y in parts for z in parts]
+    encoder = json_encoder(Path(public_tokenizers.path("byte_bpe_50k.json")).read_text())
+    for remember in (10, 1 << 20):  # forgets at each call, or never
+        encoder.remember = remember
+        for some in (texts[:7000], texts[7000:], texts[:100], [""], []):
+            ids, counts = encoder.encode(pa.array(["skipped", *some])[1:] if some else some)
+            assert [x.tolist() for x in np.split(ids, np.cumsum(counts))[:-1]] == [tokenizer(t) for t in some]
+
+
 def test_range_coder_blocks(spark):
     import numpy as np
 
