@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..graph import Graph
 from ..plans.tables import settle
+from . import pages as P
 from .analytics import first_seen, sequential
 
 
@@ -24,8 +25,10 @@ def regions(g: Graph, parts: int) -> DataFrame:
     whose component is used up. Neighbours are taken in index order.
     """
 
-    def grow(n: int, near: dict[int, list[int]]) -> list[int]:
-        part, full, seed = [-1] * n, -(-n // parts), 0
+    def grow(n: int, at, dst):
+        import numpy as np
+
+        part, full, seed = np.full(n, -1), -(-n // parts), 0
         for now in range(parts):
             room, queue = (n if now == parts - 1 else full), deque()
             while room:
@@ -37,34 +40,38 @@ def regions(g: Graph, parts: int) -> DataFrame:
                     part[seed], room = now, room - 1
                     queue.append(seed)
                     continue
-                for w in sorted(set(near.get(queue.popleft(), ()))):
-                    if part[w] < 0 and room:
-                        part[w], room = now, room - 1
-                        queue.append(w)
+                v = queue.popleft()
+                near = dst[at[v] : at[v + 1]]
+                free = near[part[near] < 0][:room]
+                part[free], room = now, room - len(free)
+                queue.extend(free.tolist())
         return part
 
-    return sequential(g, grow, "part bigint")
+    return sequential(g, grow, "part", distinct=True)
 
 
 def refined(g: Graph, owners: DataFrame, parts: int) -> DataFrame:
     """idx, part: nodes moved one by one, in index order, to the part that most of their links lead to, where that cuts fewer edges and keeps sizes within BALANCE of the mean. One task: order decides."""
-    first = {r["idx"]: r["part"] for r in owners.filter("part >= 0").collect()} if g.edges.count() <= 2_000_000 else {}
-
-    def improve(n: int, near: dict[int, list[int]]) -> list[int]:
-        part = [first[v] for v in range(n)]
-        sizes = [0] * parts
-        for x in part:
-            sizes[x] += 1
+    first = P.store(owners.filter("part >= 0").select("idx", "part"), "idx", g.nodes.count(), "owners")
+
+    def improve(n: int, at, dst):
+        import numpy as np
+
+        part = np.full(n, -1)
+        for k in range(len(first.files)):
+            own = first.read(k, ["idx", "part"])
+            part[own["idx"]] = own["part"]
+        if n and part.min() < 0:
+            raise ValueError(f"node {part.argmin()} has no part")
+        sizes = np.bincount(part, minlength=parts)
         most, least = math.ceil((1 + BALANCE) * n / parts), math.floor((1 - BALANCE) * n / parts)
         for _ in range(PASSES if parts > 1 else 0):
             moved = False
             for v in range(n):
-                links = [0] * parts
-                for w in near.get(v, ()):
-                    links[part[w]] += w != v
-                own, here = links[part[v]], part[v]
-                links[here] = 0
-                to = max(range(parts), key=lambda b: (links[b], -b))
+                near, here = dst[at[v] : at[v + 1]], part[v]
+                links = np.bincount(part[near[near != v]], minlength=parts)
+                own, links[here] = links[here], 0
+                to = links.argmax()
                 if links[to] > own and sizes[to] < most and sizes[here] - 1 >= least:
                     part[v], moved = to, True
                     sizes[here] -= 1
@@ -73,27 +80,33 @@ def refined(g: Graph, owners: DataFrame, parts: int) -> DataFrame:
                 break
         return part
 
-    return sequential(g, improve, "part bigint")
+    return sequential(g, improve, "part")
 
 
 def first_touch(g: Graph) -> DataFrame:
-    """idx, part: pairs by the first edge, in edge order, whose ends are both free; single nodes follow. One task: order decides."""
-    edges = [(r["src"], r["dst"]) for r in g.edges.orderBy("eidx").select("src", "dst").limit(2_000_001).collect()]
-    if len(edges) > 2_000_000:
-        raise ValueError("too many edges: use matching()")
-
-    def pair(n: int, near: dict[int, list[int]]) -> list[int]:
-        part, now = [-1] * n, 0
-        for s, t in edges:
-            if s != t and part[s] < 0 and part[t] < 0:
-                part[s] = part[t] = now
-                now += 1
-        for v in range(n):
-            if part[v] < 0:
-                part[v], now = now, now + 1
-        return part
-
-    return sequential(g, pair, "part bigint")
+    """idx, part: pairs by the first edge, in edge order, whose ends are both free; single nodes follow. One task, as order decides: edges pass through it page by page, and it holds eight bytes a node."""
+    n = g.nodes.count()
+    edges = P.store(g.edges.select("eidx", "src", "dst"), "eidx", g.edges.count(), "edges")
+
+    def run(batches):
+        import numpy as np
+
+        for _ in P.numbers(batches):
+            part, now = np.full(n, -1), 0
+            for k in range(len(edges.files)):
+                ends = edges.read(k, ["src", "dst"])
+                for a in range(0, len(ends["src"]), 1 << 16):
+                    src, dst = ends["src"][a : a + (1 << 16)], ends["dst"][a : a + (1 << 16)]
+                    free = np.flatnonzero((src != dst) & (part[src] < 0) & (part[dst] < 0))
+                    for s, t in zip(src[free].tolist(), dst[free].tolist(), strict=True):
+                        if part[s] < 0 and part[t] < 0:
+                            part[s] = part[t] = now
+                            now += 1
+            alone = np.flatnonzero(part < 0)
+            part[alone] = np.arange(now, now + len(alone))
+            yield from P.batches(idx=np.arange(n), part=part)
+
+    return P.tasks(g.nodes.sparkSession, 1).mapInArrow(run, "idx bigint, part bigint")
 
 
 def cascade(g: Graph, levels: int = 8, target: int = 50, match=None) -> list[tuple[Graph, DataFrame | None]]:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.graph import Graph, from_pairs
 from graphloom.operators import analytics as A
-from graphloom.operators import generators, pages
+from graphloom.operators import generators, pages, partition
 from graphloom.plans.tables import shared_dir
 
 
@@ -73,3 +73,25 @@ def wide(spark):
     """A ring of 1,000 nodes with 2,001 edges between neighbours, in the order of rounds."""
     edges = spark.range(2_001_000).select(F.col("id").alias("eidx"), (F.col("id") % 1000).alias("src"), ((F.col("id") + 1) % 1000).alias("dst"))
     return Graph(spark.range(1000).select(F.col("id").alias("idx"), F.col("id").cast("string").alias("id")), edges)
+
+
+def test_kcore_sweep_of_many_edges(spark, wide):
+    assert {(r.kcore, r["count"]) for r in A.kcore_sweep(wide).groupBy("kcore").count().collect()} == {(4002, 1000)}
+
+
+def test_kcore_sweep_counts_again_what_may_fall(spark):
+    r = random.Random(7)
+    pairs = [(r.randrange(60), r.randrange(60)) for _ in range(200)]
+    near = [[] for _ in range(60)]
+    for s, t in pairs:
+        near[s].append(t)
+        near[t].append(s)
+    core, moved = [len(x) for x in near], True
+    while moved:
+        moved = False
+        for v in range(60):
+            kept = sum(core[w] >= core[v] for w in near[v])
+            if kept < core[v]:
+                core[v], moved = kept, True
+    got = {x.idx: x.kcore for x in A.kcore_sweep(from_pairs(spark, 60, pairs)).collect()}
+    assert [got[v] for v in range(60)] == core
