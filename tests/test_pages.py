@@ -95,3 +95,7 @@ def test_kcore_sweep_counts_again_what_may_fall(spark):
                 core[v], moved = kept, True
     got = {x.idx: x.kcore for x in A.kcore_sweep(from_pairs(spark, 60, pairs)).collect()}
     assert [got[v] for v in range(60)] == core
+
+
+def test_first_touch_of_many_edges(spark, wide):
+    assert {r.idx: r.part for r in partition.first_touch(wide).collect()} == {v: v // 2 for v in range(1000)}
