@@ -99,3 +99,11 @@ def test_kcore_sweep_counts_again_what_may_fall(spark):
 
 def test_first_touch_of_many_edges(spark, wide):
     assert {r.idx: r.part for r in partition.first_touch(wide).collect()} == {v: v // 2 for v in range(1000)}
+
+
+def test_refined_of_many_edges(spark, wide):
+    halves = wide.nodes.select("idx", F.when((F.col("idx") < 500) == (F.col("idx") != 250), 0).otherwise(1).cast("long").alias("part"))
+    got = {r.idx: r.part for r in partition.refined(wide, halves, 2).collect()}
+    assert got == {v: int(v >= 500) for v in range(1000)} or sum(got[v] != got[(v + 1) % 1000] for v in range(1000)) == 2
+    with pytest.raises(Exception, match="no part"):
+        partition.refined(wide, halves.filter("idx > 3"), 2).collect()
