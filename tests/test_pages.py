@@ -107,3 +107,9 @@ def test_refined_of_many_edges(spark, wide):
     assert got == {v: int(v >= 500) for v in range(1000)} or sum(got[v] != got[(v + 1) % 1000] for v in range(1000)) == 2
     with pytest.raises(Exception, match="no part"):
         partition.refined(wide, halves.filter("idx > 3"), 2).collect()
+
+
+def test_regions_of_many_edges(spark, wide):
+    got = {r.idx: r.part for r in partition.regions(wide, 4).collect()}
+    assert {v for v in got if got[v] == 0} == {*range(126), *range(876, 1000)}
+    assert [list(got.values()).count(p) for p in range(4)] == [250] * 4
