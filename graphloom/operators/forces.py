@@ -2,7 +2,7 @@
 
 Repulsion of all nodes comes from a tree of cells: a node meets a cell as a whole where the cell is small against its
 distance, and what is in the cell otherwise. The tree is a table of cells by depth; one join per depth takes all nodes
-down it. With theta = 0 every cell is opened and the sum is exact.
+down it. With theta = 0 the sum is exact and goes over all pairs, block by block.
 """
 
 from __future__ import annotations
@@ -16,24 +16,63 @@ from pyspark.sql import functions as F
 from ..graph import Graph
 from ..plans.tables import settle
 from . import layout, partition
+from . import pages as P
 from .analytics import bfs
 from .measures import swing
 
 AXES = ("x", "y", "z")
 #: Up to this depth all cells (8 ** depth) are few enough to be sent to every task.
 BROADCAST_DEPTH = 5
+#: Points that a task of the exact sum takes, and the sides of the tiles of pairs that it goes through.
+TARGETS, HIGH, WIDE = 4096, 64, 1024
 
 
 def _r2(a: str = "", b: str = "c") -> Column:
     return sum(((F.col(a + c) - F.col(b + c)) ** 2 for c in "yz"), (F.col(a + "x") - F.col(b + "x")) ** 2)
 
 
+def exact_field(points: DataFrame, least: float, added: bool, power: float) -> DataFrame:
+    """far_field of all pairs, none left out: each task sums for TARGETS points and reads all points a page at a time, so nothing is stored per pair."""
+    stored = P.store(points.select("idx", *AXES, F.col("mass").cast("double").alias("mass")), "idx", points.count(), "points")
+    mine = [(k, a) for k, f in enumerate(stored.files) for a in range(0, f[3], TARGETS)]
+
+    def run(batches):
+        import numpy as np
+
+        for t in P.numbers(batches):
+            k, start = mine[t]
+            own = {c: v[start : start + TARGETS] for c, v in stored.read(k, ["idx", *AXES]).items()}
+            sums = {c: np.zeros(len(own["idx"])) for c in AXES}
+            tiles = {c: np.empty((HIGH, WIDE)) for c in [*AXES, "below", "square"]}  # made once: they stay in the cache
+            for j in range(len(stored.files)):
+                other = stored.read(j, [*AXES, "mass"])
+                wide = [c for c in AXES if np.any(own[c] != own[c][0]) or np.any(other[c] != own[c][0])]  # in other axes nothing is apart
+                for b in range(0, len(other["mass"]), WIDE):
+                    there = {c: other[c][b : b + WIDE] for c in [*wide, "mass"]}
+                    for a in range(0, len(own["idx"]), HIGH):
+                        part = np.s_[: len(own["idx"][a : a + HIGH]), : len(there["mass"])]
+                        below, square = tiles["below"][part], tiles["square"][part]
+                        below.fill(0.0)
+                        for c in wide:
+                            d = np.subtract(own[c][a : a + HIGH, None], there[c], out=tiles[c][part])
+                            below += np.multiply(d, d, out=square)
+                        below = np.add(below, least, out=below) if added else np.maximum(below, least, out=below)
+                        weight = np.divide(there["mass"], below if power == 1 else np.power(below, power, out=square), out=below)
+                        for c in wide:  # a point is not apart from itself, which adds 0
+                            sums[c][a : a + HIGH] += np.einsum("ij,ij->i", weight, tiles[c][part])
+            yield from P.batches(idx=own["idx"], **{"f" + c: sums[c] for c in AXES})
+
+    return P.tasks(points.sparkSession, len(mine)).mapInArrow(run, "idx bigint, fx double, fy double, fz double")
+
+
 def far_field(points: DataFrame, theta: float = 0.7, depth: int | None = None, least: float = 1e-4, added: bool = False, power: float = 1.0) -> DataFrame:
     """idx, fx, fy, fz: sum over other points(idx, x, y, z, mass) of mass * d / max(r^2, least) ** power, d pointing away from them; r^2 + least instead of the larger one if added."""
     box = points.agg(F.count("*").alias("n"), *(F.min(c).alias("l" + c) for c in AXES), *(F.max(c).alias("h" + c) for c in AXES)).first()
     zero = points.select("idx", *(F.lit(0.0).alias("f" + c) for c in AXES))
     if not box["n"]:
         return zero
+    if theta == 0:
+        return exact_field(points, least, added, power)
     side = max(max(box["h" + c] - box["l" + c] for c in AXES), 1e-9) * (1 + 1e-9)
     depth = depth or min(20, max(1, math.ceil(math.log2(box["n"] + 1) / 2) + 2))
     at = {f"k{c}": F.least(F.floor((F.col(c) - box["l" + c]) / side * (1 << depth)), F.lit((1 << depth) - 1)).cast("int") for c in AXES}

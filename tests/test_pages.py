@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.graph import Graph, from_pairs
 from graphloom.operators import analytics as A
-from graphloom.operators import generators, pages, partition
+from graphloom.operators import forces, generators, pages, partition
 from graphloom.plans.tables import shared_dir
 
 
@@ -113,3 +113,20 @@ def test_regions_of_many_edges(spark, wide):
     got = {r.idx: r.part for r in partition.regions(wide, 4).collect()}
     assert {v for v in got if got[v] == 0} == {*range(126), *range(876, 1000)}
     assert [list(got.values()).count(p) for p in range(4)] == [250] * 4
+
+
+def test_exact_forces_store_no_pairs(spark):
+    r, before = random.Random(3), stored(spark)
+    rows = [(i, r.uniform(-9, 9), r.uniform(-9, 9), r.uniform(-9, 9), r.uniform(1, 4)) for i in range(90)] + [(90, 1.0, 1.0, 1.0, 2.0), (91, 1.0, 1.0, 1.0, 2.0)]
+    points = spark.createDataFrame(rows, "idx bigint, x double, y double, z double, mass double")
+    for added, power in ((False, 1.0), (True, 1.0), (False, 1.5)):
+        got = {x.idx: (x.fx, x.fy, x.fz) for x in forces.far_field(points, 0.0, least=0.5, added=added, power=power).collect()}
+        for i, *p, _ in rows:
+            want = [0.0] * 3
+            for j, *q, m in rows:
+                if i != j:
+                    r2 = sum((a - b) ** 2 for a, b in zip(p, q, strict=True))
+                    below = (r2 + 0.5 if added else max(r2, 0.5)) ** power
+                    want = [v + m * (a - b) / below for v, a, b in zip(want, p, q, strict=True)]
+            assert got[i] == pytest.approx(want, abs=1e-9)
+    assert len(stored(spark) - before) == 3  # the points, each time
