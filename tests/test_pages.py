@@ -130,3 +130,21 @@ def test_exact_forces_store_no_pairs(spark):
                     want = [v + m * (a - b) / below for v, a, b in zip(want, p, q, strict=True)]
             assert got[i] == pytest.approx(want, abs=1e-9)
     assert len(stored(spark) - before) == 3  # the points, each time
+
+
+@pytest.mark.parametrize("mode", ["jaccard", "corrected"])
+def test_edge_strength_stores_no_wedges(spark, mode, monkeypatch):
+    monkeypatch.setattr(pages.store, "__defaults__", (30,))  # many pages
+    r = random.Random(9)
+    pairs = [(r.randrange(20), r.randrange(20)) for _ in range(90)] + [(25, v) for v in range(20)] + [(21, 22)]
+    near = {v: {b for a, b in pairs if a == v} | {a for a, b in pairs if b == v} for v in range(26)}
+    near = {v: ws - {v} for v, ws in near.items()}
+    common = {(a, b): len(near[a] & near[b]) for a, b in pairs if a != b}
+    before = stored(spark)
+    got = {x.eidx: (x.src, x.dst, x.strength) for x in A.edge_strength(from_pairs(spark, 26, pairs), mode).collect()}
+    assert len(got) == len(pairs) and len(stored(spark) - before) == 1
+    for k, (a, b) in enumerate(pairs):
+        t = common.get((a, b), 0)
+        below = len(near[a]) + len(near[b]) - 2 - t if mode == "jaccard" else max(common.values()) + max(len(near[a]), len(near[b])) - 1 - t
+        assert got[k] == (a, b, pytest.approx(min(1.0, t / below) if a != b and below > 0 else 0.0))
+    assert A.edge_strength(from_pairs(spark, 2, [(1, 1)]), mode).collect()[0].strength == 0.0
