@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 K1, B = 1.2, 0.75
 #: Parts that stored postings are kept in, by the hash of the term.
 SHARDS = 64
+#: Words that a task groups at a time.
+TOKENS = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -70,17 +72,65 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), lambda t: t != "")
 
 
+def _coded(batches):
+    """One row per TOKENS words of documents(field, idx, words): the distinct words, and each document's words by their places among these."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column("words")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:  # one document at least
+            held = ends[start - 1] if start else 0
+            stop = max(int(np.searchsorted(ends, held + TOKENS, "right")), start + 1)
+            part = batch.slice(start, stop - start)
+            coded = part.column("words").flatten().dictionary_encode()
+            lens = np.diff(ends[start:stop], prepend=held).astype(np.int32)
+            if len(coded):
+                row = {"words": coded.dictionary, "codes": pc.fill_null(coded.indices, -1), "idx": part.column("idx"), "lens": pa.array(lens)}
+                yield pa.RecordBatch.from_pydict({"field": part.column("field")[:1]} | {k: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for k, v in row.items()})
+            start = stop
+
+
+def _postings(batches):
+    """The postings of each row of coded documents, whose words may have become stems; a list of places is in ascending order."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        for r in range(batch.num_rows):
+            words = batch.column("words")[r].values.dictionary_encode()
+            codes, lens = (batch.column(c)[r].values.to_numpy(zero_copy_only=False) for c in ("codes", "lens"))
+            doc, start = np.repeat(np.arange(len(lens)), lens), np.cumsum(lens, dtype=np.int64) - lens
+            known = np.flatnonzero(codes >= 0)
+            doc, at = doc[known], (known - np.repeat(start, lens)[known]).astype(np.int32)
+            key = doc * len(words.dictionary) + words.indices.to_numpy()[codes[known]]
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            first = np.flatnonzero(np.diff(key, prepend=-1))
+            offsets = np.append(first, len(key))
+            doc, term = np.divmod(key[first], max(len(words.dictionary), 1))
+            for a in range(0, len(first), 1 << 16):
+                z = min(a + (1 << 16), len(first))
+                places = pa.ListArray.from_arrays(pa.array((offsets[a : z + 1] - offsets[a]).astype(np.int32)), pa.array(at[order[offsets[a] : offsets[z]]]))
+                found = {"term": words.dictionary.take(pa.array(term[a:z])), "idx": batch.column("idx")[r].values.take(pa.array(doc[a:z])), "len": pa.array(lens[doc[a:z]]), "tf": pa.array(np.diff(offsets[a : z + 1])), "places": places}
+                yield pa.RecordBatch.from_pydict({"field": pa.array([batch.column("field")[r].as_py()] * (z - a), pa.string())} | found)
+
+
 def build(docs: DataFrame, texts: dict[str, float], keywords: dict[str, float] | None = None, idx: str = "idx", stemming: bool = False) -> Index:
+    """An index of docs, one document in a row. Words become postings where their document is, without a shuffle; each distinct word of a batch is stemmed once."""
     kinds, keywords, rows = dict(docs.dtypes), keywords or {}, None
     for name in [*texts, *keywords]:
         if name in texts:
             found = words(F.col(name))
         else:
             found = F.col(name) if kinds[name].startswith("array") else F.array(F.col(name).cast("string"))
-        each = docs.select(F.col(idx).alias("idx"), F.lit(name).alias("field"), found.alias("_w")).select("idx", "field", F.size("_w").alias("len"), F.posexplode("_w").alias("at", "term")).filter("term is not null")
+        each = docs.select(F.lit(name).alias("field"), F.col(idx).cast("long").alias("idx"), found.cast("array<string>").alias("words"))
         if name in texts and stemming:
-            each = each.withColumn("term", stem(F.col("term")))
-        part = each.groupBy("field", "term", "idx", "len").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("at")).alias("places"))
+            each = each.mapInArrow(_coded, "field string, words array<string>, codes array<int>, idx array<bigint>, lens array<int>").withColumn("words", F.transform("words", stem))
+        made = _postings if name in texts and stemming else lambda batches: _postings(_coded(batches))
+        part = each.mapInArrow(made, "field string, term string, idx bigint, len int, tf bigint, places array<int>")
         rows = part if rows is None else rows.unionByName(part)
     stats = None
     for name in [*texts, *keywords]:  # a document counts once it has a term
@@ -91,11 +141,16 @@ def build(docs: DataFrame, texts: dict[str, float], keywords: dict[str, float] |
 
 
 def store(index: Index, folder: str) -> Index:
-    """Write the postings by shard and term, and the statistics; give the index that reads them."""
+    """Write the postings by shard and term, each task its own files, and the statistics; give the index that reads them."""
     spark = index.postings.sparkSession
     shard = F.pmod(F.xxhash64("term"), F.lit(SHARDS)).cast("int")
     rows = index.postings.withColumn("shard", shard)
-    rows.repartition(SHARDS, "shard").sortWithinPartitions("term", "field", "idx").write.partitionBy("shard").mode("overwrite").parquet(f"{folder}/postings")
+    most, was = "spark.sql.execution.arrow.maxBytesPerBatch", spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    spark.conf.set(most, "8m")  # what a task hands over at a time
+    try:
+        rows.sortWithinPartitions("shard", "term", "field", "idx").write.partitionBy("shard").mode("overwrite").option("compression", "zstd").parquet(f"{folder}/postings")
+    finally:
+        spark.conf.set(most, was)
     index.stats.coalesce(1).write.mode("overwrite").parquet(f"{folder}/stats")
     return open_index(spark, folder, index.fields, index.stemmed)
 

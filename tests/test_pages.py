@@ -148,3 +148,30 @@ def test_edge_strength_stores_no_wedges(spark, mode, monkeypatch):
         below = len(near[a]) + len(near[b]) - 2 - t if mode == "jaccard" else max(common.values()) + max(len(near[a]), len(near[b])) - 1 - t
         assert got[k] == (a, b, pytest.approx(min(1.0, t / below) if a != b and below > 0 else 0.0))
     assert A.edge_strength(from_pairs(spark, 2, [(1, 1)]), mode).collect()[0].strength == 0.0
+
+
+@pytest.mark.parametrize("stemming", [False, True])
+def test_an_index_is_built_without_shuffle(spark, tmp_path, monkeypatch, stemming):
+    import re
+    from collections import defaultdict
+
+    from graphloom.operators import search
+
+    monkeypatch.setattr(search, "TOKENS", 7)  # documents are cut into many batches
+    texts = ["Growing grows, it GROWS", None, "", "plum and pear and plum", "pear", "hopping hop " * 6, "a b a"]
+    docs = spark.createDataFrame([(i, t, ["x", None, "x"] if i % 2 else []) for i, t in enumerate(texts)], "idx bigint, text string, tags array<string>")
+    index = search.build(docs, {"text": 1.0}, {"tags": 1.0}, stemming=stemming)
+    assert "Exchange" not in index.postings._jdf.queryExecution().executedPlan().toString()
+    words = sorted({w for t in texts for w in re.findall(r"\w+", (t or "").lower())})
+    stems = {r.w: r.s for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", search.stem(F.col("w")).alias("s")).collect()}
+    want = defaultdict(list)
+    for i, t in enumerate(texts):
+        found = re.findall(r"\w+", (t or "").lower())
+        for at, w in enumerate(found):
+            want["text", stems[w] if stemming else w, i, len(found)].append(at)
+        if i % 2:
+            want["tags", "x", i, 3] = [0, 2]
+    for made in (index, search.store(index, str(tmp_path / "index"))):
+        got = {(r.field, r.term, r.idx, r.len): r.places for r in made.postings.collect()}
+        assert got == want
+        assert all(r.tf == len(r.places) for r in made.postings.collect())
