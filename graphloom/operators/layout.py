@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..graph import Graph, dense_index
 from ..plans.tables import settle
+from . import pairs
 from .analytics import bfs
 
 
@@ -68,26 +69,25 @@ def length_variation(g: Graph, pos: DataFrame) -> DataFrame:
     return edge_lengths(g, pos).agg(F.when((F.count("*") < 2) | (F.avg("length") < 1e-12), 0.0).otherwise(F.stddev_pop("length") / F.avg("length")).alias("cv"))
 
 
+def scaled_stress(cross: str, own: str, n: str) -> Column:
+    """Stress per pair at the best scale, of the sums of distance / hops and of its square over n pairs."""
+    a = F.when(F.col(own) > 0, F.col(cross) / F.col(own)).otherwise(0.0)
+    return (a * a * F.col(own) - 2 * a * F.col(cross) + F.col(n)) / F.greatest(n, F.lit(1))
+
+
 def stress(pairs: DataFrame) -> DataFrame:
     """One row: scale-normalised stress of pairs (d, apart): hops and distance in the layout, weights 1 / d^2."""
     ratio = F.col("apart") / F.col("d")
     sums = pairs.filter("d > 0").agg(F.sum(ratio).alias("cross"), F.sum(ratio * ratio).alias("own"), F.count("*").alias("n"))
-    a = F.when(F.col("own") > 0, F.col("cross") / F.col("own")).otherwise(0.0)
-    return sums.select(((a * a * F.col("own") - 2 * a * F.col("cross") + F.col("n")) / F.greatest("n", F.lit(1))).alias("stress"))
-
-
-def crossings(g: Graph, pos: DataFrame, cell: float) -> DataFrame:
-    """One row: proper crossings of edges in the plane. Edges meet by the grid cells of their bounding boxes, not all with all."""
-    e = edge_lengths(g, pos).select("eidx", "src", "dst", "x", "y", "x2", "y2")
-    span = lambda a, b: F.sequence(F.floor(F.least(a, b) / cell), F.floor(F.greatest(a, b) / cell))
-    cells = e.withColumn("cx", F.explode(span("x", "x2"))).withColumn("cy", F.explode(span("y", "y2")))
-    a, b = cells.alias("a"), cells.alias("b")
-    side = lambda p, q, r: (F.col(f"{q[0]}") - F.col(p[0])) * (F.col(r[1]) - F.col(p[1])) - (F.col(q[1]) - F.col(p[1])) * (F.col(r[0]) - F.col(p[0]))
-    a1, a2, b1, b2 = ("a.x", "a.y"), ("a.x2", "a.y2"), ("b.x", "b.y"), ("b.x2", "b.y2")
-    apart = F.expr("a.eidx < b.eidx and a.src <> b.src and a.src <> b.dst and a.dst <> b.src and a.dst <> b.dst")
-    cross = (side(a1, a2, b1) * side(a1, a2, b2) < 0) & (side(b1, b2, a1) * side(b1, b2, a2) < 0)
-    met = a.join(b, F.expr("a.cx = b.cx and a.cy = b.cy") & apart & cross)
-    return met.select(F.col("a.eidx").alias("i"), F.col("b.eidx").alias("j")).distinct().agg(F.count("*").alias("crossings"))
+    return sums.select(scaled_stress("cross", "own", "n").alias("stress"))
+
+
+def crossings(g: Graph, pos: DataFrame, cell: float, step: float | None = None) -> DataFrame:
+    """One row: proper crossings of edges in the plane. Edges of like size (doublings of cell) and place are compared where their boxes meet.
+
+    With a step, if all places lie on a lattice of it, those of a hub's many edges are counted by their order, not by pairs.
+    """
+    return pairs.crossings(edge_lengths(g, pos), pos, cell, step)
 
 
 def contacts(points: DataFrame, scale: float, cell: float) -> DataFrame:

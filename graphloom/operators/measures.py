@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..graph import Graph
 from ..plans.tables import settle
 from .analytics import components
+from .layout import scaled_stress
+from .pairs import stress_sums
 
 AXES = ("x", "y", "z")
 
@@ -63,15 +65,11 @@ def hop_pairs(g: Graph, sources: DataFrame | None = None) -> DataFrame:
     return seen
 
 
-def all_pairs_stress(g: Graph, pos: DataFrame) -> DataFrame:
-    """One row: pairs (i < j, in reach) and the stress of their distances against hops, at the best scale, per pair."""
-    from .layout import stress
-
-    pairs = hop_pairs(g).filter("s < idx").select("s", "idx", "d")
-    a = pos.select(F.col("idx").alias("s"), *(F.col(c).alias(c + "1") for c in AXES))
-    met = pairs.join(a, "s").join(pos, "idx").select("d", _length([F.col(c) - F.col(c + "1") for c in AXES]).alias("apart"))
-    met = settle(met, "pairs")
-    return met.agg(F.count("*").alias("pairs")).crossJoin(F.broadcast(stress(met)))  # one row each
+def all_pairs_stress(g: Graph, pos: DataFrame, step: float | None = None) -> DataFrame:
+    """One row: pairs (i < j, in reach) and the stress of their distances against hops, at the best scale, per pair; faster if all places lie on a lattice of the step."""
+    sums = stress_sums(g, pos, step).agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("n"), F.sum("total").alias("total"), F.sum("own").alias("own"))
+    half = sums.select((F.col("n") / 2).cast("long").alias("pairs"), *((F.col(c) / 2).alias(c) for c in ("total", "own")))  # each pair was met from both ends
+    return half.select("pairs", scaled_stress("total", "own", "pairs").alias("stress"))
 
 
 def nematic_order(directors: DataFrame) -> DataFrame:

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..graph import Graph
 from ..operators import analytics as A
 from ..operators import forces, layout, listings, measures, partition, search, versions
 from ..operators.store import Store, merged_graphs
 from ..sources import importers
 from .queries import G, _bodies, _t, documents_index, query, users
 from .structure import H, hierarchy
-from .tables import fresh
+from .tables import fresh, settle
 
 _FRAMES = "l AS (SELECT l_orderkey AS idx, l_linenumber AS frame, l_quantity AS x, l_discount * 100 AS y, l_tax * 100 AS z FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_discount, l_tax) = 1)"
 
@@ -45,9 +46,10 @@ _TREE = f"""{H}, zz AS (SELECT count(*) AS n, ceil(sqrt(count(*)))::BIGINT AS co
 def layout_quality(spark, d):
     """The hierarchy of the tables laid out as a grid."""
     g = hierarchy(spark, d)
-    pos = layout.grid(g.nodes, g.nodes.count())
-    quality = layout.length_variation(g, pos).select(F.round("cv", 6).alias("cv")).crossJoin(layout.crossings(g, pos, 40.0))  # one row each
-    return quality.crossJoin(measures.all_pairs_stress(g, pos).select("pairs", F.round("stress", 6).alias("stress")))
+    g = Graph(g.nodes, settle(g.edges, "edges"))
+    pos = settle(layout.grid(g.nodes, g.nodes.count()), "grid")
+    quality = layout.length_variation(g, pos).select(F.round("cv", 6).alias("cv")).crossJoin(layout.crossings(g, pos, 40.0, 10.0))  # one row each
+    return quality.crossJoin(measures.all_pairs_stress(g, pos, 10.0).select("pairs", F.round("stress", 6).alias("stress")))
 
 
 @query(f"""WITH {_FRAMES}, u AS (SELECT (x - 25) / r AS x, (y - 5) / r AS y, (z - 4) / r AS z FROM (SELECT *, sqrt((x - 25) ** 2 + (y - 5) ** 2 + (z - 4) ** 2) AS r FROM l) WHERE r > 0),

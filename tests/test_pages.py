@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.graph import Graph, from_pairs
 from graphloom.operators import analytics as A
-from graphloom.operators import forces, generators, pages, partition
+from graphloom.operators import forces, generators, layout, measures, pages, pairs, partition
 from graphloom.plans.tables import shared_dir
 
 
@@ -132,6 +132,82 @@ def test_exact_forces_store_no_pairs(spark):
     assert len(stored(spark) - before) == 3  # the points, each time
 
 
+def crossed(places, edges):
+    """Pairs of edges that cross, one with one."""
+    turn = lambda p, q, r: (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+    met = 0
+    for k, (a, b) in enumerate(edges):
+        for c, d in edges[:k]:
+            p, q, r, s = (places[v] for v in (a, b, c, d))
+            met += len({a, b, c, d}) == 4 - (a == b) - (c == d) and turn(p, q, r) * turn(p, q, s) < 0 and turn(r, s, p) * turn(r, s, q) < 0
+    return met
+
+
+def hubs(seed, n, at):
+    """Edges of two nodes with many, of one with few and between any, and the places of all nodes."""
+    r = random.Random(seed)
+    edges = [(3, r.randrange(n)) for _ in range(90)] + [(r.randrange(n), 8) for _ in range(70)] + [(5, r.randrange(n)) for _ in range(9)] + [(r.randrange(n), r.randrange(n)) for _ in range(30)]
+    return edges, [at(r) for _ in range(n)]
+
+
+@pytest.mark.parametrize("step", [2.5, None, "none fits"])
+def test_crossings_store_no_pairs(spark, step):
+    cell = (lambda r: (2.5 * r.randrange(12) - 7, 2.5 * r.randrange(9) + 1, 4.0)) if step == 2.5 or step is None else (lambda r: (r.uniform(-9, 9), r.uniform(-9, 9), 0.0))
+    edges, places = hubs(6, 60, cell)
+    pos = spark.createDataFrame([(i, *p) for i, p in enumerate(places)], "idx bigint, x double, y double, z double")
+    assert (pairs.lattice(pos, 2.5) is None) == (step == "none fits")
+    before = stored(spark)
+    got = layout.crossings(from_pairs(spark, 60, edges), pos, 0.5, 2.5 if step else None).collect()
+    assert [tuple(x) for x in got] == [(crossed(places, edges),)] and got[0][0] > 1000
+    assert len(stored(spark) - before) == (4 if step == 2.5 else 2)  # the edges by size and place, and those of hubs
+
+
+def test_crossings_of_hubs_with_many_edges(spark):
+    """Two hubs below a row of 5,000 nodes, whose 3 million crossings would be as many rows."""
+    n = 2500
+    nodes = spark.range(2 * n + 2).select(F.col("id").alias("idx"), F.col("id").cast("string").alias("id"))
+    edges = spark.range(2 * n).select(F.col("id").alias("eidx"), F.col("id").alias("src"), (F.col("id") % 2 + 2 * n).alias("dst"))
+    pos = nodes.select("idx", F.when(F.col("idx") < 2 * n, F.col("idx")).otherwise((F.col("idx") - 2 * n) * 2 * n).cast("double").alias("x"), F.when(F.col("idx") < 2 * n, 3.0).otherwise(0.0).alias("y"), F.lit(0.0).alias("z"))
+    before = stored(spark)
+    assert layout.crossings(Graph(nodes, edges), pos, 1.0, 1.0).first()[0] == n * (n - 1) // 2
+    assert len(stored(spark) - before) == 4
+
+
+def test_tiles_are_compared_where_their_boxes_meet(spark):
+    r = random.Random(2)
+    rows = [(2 * k, r.uniform(0, 60), r.uniform(0, 60)) for k in range(1500)]
+    rows += [(i + 1, x + r.uniform(-3, 3) * (60 if i % 50 == 0 else 1), y + r.uniform(-3, 3)) for i, x, y in rows]
+    places = {i: (x, y) for i, x, y in rows}
+    pos = spark.createDataFrame([(i, x, y, 0.0) for i, x, y in rows], "idx bigint, x double, y double, z double")
+    edges = [(k, k + 1) for k in range(0, 3000, 2)]
+    assert layout.crossings(from_pairs(spark, 3000, edges), pos, 1.0).first()[0] == crossed(places, edges)
+
+
+@pytest.mark.parametrize("step", [2.5, None])
+def test_stress_stores_no_pairs(spark, step):
+    edges, places = hubs(5, 60, lambda r: (2.5 * r.randrange(12) - 7, 2.5 * r.randrange(9) + 1, 4.0 if step else r.uniform(0, 9)))
+    edges = edges[:40] + edges[100:130] + [(60, 61), (62, 62), (62, 63), (64, 63), (63, 64)]
+    places += [(0.5, 3.5 + 2.5 * k, 4.0) for k in range(6)]
+    g = from_pairs(spark, 66, edges)
+    pos = spark.createDataFrame([(i, *p) for i, p in enumerate(places)], "idx bigint, x double, y double, z double")
+    met = [(x.d, sum((a - b) ** 2 for a, b in zip(places[x.s], places[x.idx], strict=True)) ** 0.5) for x in measures.hop_pairs(g).collect() if x.s < x.idx]
+    want = layout.stress(spark.createDataFrame(met, "d int, apart double")).first()[0]
+    before = stored(spark)
+    got = measures.all_pairs_stress(g, pos, step).first()
+    assert (got["pairs"], got["stress"]) == (len(met), pytest.approx(want, abs=1e-12))
+    assert len(stored(spark) - before) == 2  # links and places
+
+
+@pytest.mark.parametrize("side", [1024, 7])
+def test_distances_by_convolution(side, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(pairs, "SIDE", side)
+    r = np.random.default_rng(1)
+    a, b, w = r.integers(0, 30, (2, 50)), r.integers(0, 30, (2, 80)), r.uniform(0, 1, 80)
+    assert pairs.Convolution(30).sums(a, b, w) == pytest.approx(pairs.each_distance(a, b, w), rel=1e-12)
+
+
 @pytest.mark.parametrize("mode", ["jaccard", "corrected"])
 def test_edge_strength_stores_no_wedges(spark, mode, monkeypatch):
     monkeypatch.setattr(pages.store, "__defaults__", (30,))  # many pages
