@@ -7,10 +7,12 @@ import json
 import os
 import re
 from collections.abc import Callable
-from itertools import chain
+from itertools import chain, compress
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import held
 
@@ -22,9 +24,8 @@ REMEMBER, REMEMBERED_BYTES = 400_000, 64
 PLAIN = re.compile(r"""\n| ?(?:[A-Za-zÀ-ÖØ-öø-ɏ]+|[0-9]+|[!-&(-/:-@\[-`{-~]+)""")
 
 
-def splits_at_spaces(text: str) -> bool:
-    """Whether a pre-token begins at every space of text, so that it can be cut there."""
-    return not ("  " in text or "\n \n" in text or text.endswith(" ") or any(c in text for c in ODD_SPACE))
+#: Found in a text in which a pre-token may not begin at every space, so that it cannot be cut there (RE2).
+UNCUT = rf"  |\n \n| \z|[{ODD_SPACE}]"
 
 
 #: Classes of bytes: all others, letters, digits, punctuation, apostrophes, line ends, spaces, first bytes of À to ɏ.
@@ -51,19 +52,19 @@ def _class_cuts() -> np.ndarray:
     return cuts.ravel()
 
 
-KINDS, CUTS = _byte_classes(), _class_cuts()
+KINDS, CUTS = _byte_classes().tobytes(), _class_cuts().tobytes().ljust(256, b"\0")
 
 
 def cut_places(data: np.ndarray) -> np.ndarray:
     """Where a pre-token of byte-level BPE certainly begins in UTF-8 bytes in which one begins at every space."""
-    kinds = KINDS[data]
+    kinds = np.frombuffer(bytearray(data.tobytes().translate(KINDS)), np.uint8)  # bytes.translate is several times as fast as indexing
     lead = np.flatnonzero(kinds == LEAD)
     lead = lead[lead + 1 < len(data)]
     first, second = data[lead], data[lead + 1]
     sign = (first == 0xC3) & ((second == 0x97) | (second == 0xB7)) | (first == 0xC9) & (second > 0x8F)  # × and ÷, and beyond ɏ
     kinds[lead] = kinds[lead + 1] = np.where(sign, OTHER, LETTER)
     cuts = np.zeros(len(data), bool)
-    cuts[1:] = CUTS[kinds[:-1] << 3 | kinds[1:]]
+    cuts[1:] = np.frombuffer((kinds[:-1] << 3 | kinds[1:]).tobytes().translate(CUTS), bool)
     visible = (kinds >= LETTER) & (kinds <= QUOTE)
     line = np.flatnonzero(kinds[1:-1] == LINE) + 1
     cuts[line[visible[line - 1] & visible[line + 1]] + 1] = True  # after single line ends
@@ -75,22 +76,21 @@ class PieceEncoder:
 
     encode_pieces gives all ids of a list of strings and the number of each one's. Texts are cut, in NumPy, where a
     pre-token certainly begins (a text in which a space may not begin one stays whole); Arrow finds the distinct pieces of
-    a call, and only those become Python strings. Pieces of at most REMEMBERED_BYTES are encoded once; when more than
+    a call and looks them up, and only new ones become Python strings. Pieces of at most REMEMBERED_BYTES are encoded once; when more than
     `remember` are known, those of the last call stay.
     """
 
     def __init__(self, encode_pieces: Callable, remember: int = REMEMBER):
         self.encode_pieces, self.remember = encode_pieces, remember
-        self.known: dict[str, int] = {}
+        self.known = pa.array([], pa.large_string())  # numbered by place
         self.last = np.zeros(0, np.int64)
         self.lens, self.flat = np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def forget(self) -> None:
         """Keep the pieces of the last call only."""
-        starts, names = np.cumsum(self.lens) - self.lens, np.array([*self.known, None], object)
+        starts = np.cumsum(self.lens) - self.lens
         self.flat, self.lens = gather(self.flat, starts[self.last], self.lens[self.last]), self.lens[self.last]
-        self.known = {names[n]: k for k, n in enumerate(self.last.tolist())}
-        self.last = np.arange(len(self.last))
+        self.known, self.last = self.known.take(pa.array(self.last)), np.arange(len(self.last))
 
     def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after another, and the number of each text's."""
@@ -111,9 +111,8 @@ class PieceEncoder:
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
         body = body.slice(low, int(bounds[-1]))
         cuts = cut_places(np.frombuffer(body, np.uint8))
-        for i, text in enumerate(texts.to_numpy(zero_copy_only=False)):
-            if not splits_at_spaces(text):
-                cuts[bounds[i] : bounds[i + 1]] = False
+        for i in np.flatnonzero(pc.match_substring_regex(texts, UNCUT).to_numpy(zero_copy_only=False)):
+            cuts[bounds[i] : bounds[i + 1]] = False
         cuts[bounds[:-1][bounds[:-1] < len(cuts)]] = True
         firsts = np.flatnonzero(cuts)
         offsets = np.append(firsts, bounds[-1])
@@ -127,20 +126,19 @@ class PieceEncoder:
 
     def _numbered(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids at hand, how many each numbered piece has, and the numbers of these pieces."""
-        names = pieces.to_numpy(zero_copy_only=False)
         long = np.diff(np.frombuffer(pieces.buffers()[1], np.int64)[pieces.offset : pieces.offset + len(pieces) + 1]) > REMEMBERED_BYTES
-        code = np.fromiter((self.known.get(p, -1) for p in names), np.int64, len(names))
+        code = pc.index_in(pieces, self.known).fill_null(-1).to_numpy().astype(np.int64)
         fresh = np.flatnonzero((code < 0) & ~long)
         if len(fresh):
             code[fresh] = np.arange(len(self.lens), len(self.lens) + len(fresh))
-            own = names[fresh].tolist()
-            self.known.update(zip(own, code[fresh].tolist(), strict=True))
-            ids, lens = self.encode_pieces(own)
+            own = pieces.take(pa.array(fresh))
+            ids, lens = self.encode_pieces(own.to_numpy(zero_copy_only=False).tolist())
+            self.known = pa.concat_arrays([self.known, own])
             self.lens, self.flat = np.concatenate([self.lens, lens]), np.concatenate([self.flat, ids])
         self.last = code[~long]
         if not long.any():
             return self.flat, self.lens, code
-        ids, lens = self.encode_pieces(names[long].tolist())
+        ids, lens = self.encode_pieces(pieces.filter(pa.array(long)).to_numpy(zero_copy_only=False).tolist())
         code[long] = len(self.lens) + np.arange(len(lens))
         return np.concatenate([self.flat, ids]), np.concatenate([self.lens, lens]), code
 
@@ -187,24 +185,30 @@ def json_encoder(vocabulary: str) -> PieceEncoder | _WholeEncoder:
         cut = rules.get("pre_tokenizer") or {}
         byte_level = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and not rules.get("normalizer") and rules["model"].get("type", "BPE") == "BPE"
         tokenize, letters = tokenizer.model.tokenize, _byte_letters()
+        del letters[0]  # parts plain pieces, none of which holds it
 
         def encode_many(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             out = [np.array(e.ids, np.uint32) for i in range(0, len(texts), 2000) for e in tokenizer.encode_batch_fast(texts[i : i + 2000], add_special_tokens=False)]
             return np.concatenate([*out, np.zeros(0, np.uint32)]), np.fromiter(map(len, out), np.int64, len(out))
 
         def encode_pieces(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            out: list = [None] * len(pieces)
-            others = []
-            for i, piece in enumerate(pieces):
-                if len(piece) <= REMEMBERED_BYTES and PLAIN.fullmatch(piece):
-                    out[i] = [t.id for t in tokenize(piece.encode().decode("latin-1").translate(letters))]
-                else:
-                    others.append(i)
-            ids, lens = encode_many([pieces[i] for i in others])
-            for i, own in zip(others, np.split(ids, np.cumsum(lens)[:-1]), strict=True) if others else ():
-                out[i] = own.tolist()
-            lens = np.fromiter(map(len, out), np.int64, len(out))
-            return np.fromiter(chain.from_iterable(out), np.uint32, int(lens.sum())), lens
+            plain = np.fromiter((len(p) <= REMEMBERED_BYTES and PLAIN.fullmatch(p) is not None for p in pieces), bool, len(pieces))
+            joined = "\0".join(compress(pieces, plain)).encode().decode("latin-1").translate(letters)
+            counts: list[int] = []
+
+            def found():
+                for own in map(tokenize, joined.split("\0") if plain.any() else ()):
+                    counts.append(len(own))
+                    yield own
+
+            flat = np.fromiter(map(attrgetter("id"), chain.from_iterable(found())), np.uint32)
+            if plain.all():
+                return flat, np.array(counts, np.int64)
+            others, own = encode_many(list(compress(pieces, ~plain)))
+            lens, starts = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+            lens[plain], lens[~plain] = counts, own
+            starts[plain], starts[~plain] = np.cumsum(counts) - counts, len(flat) + np.cumsum(own) - own
+            return gather(np.concatenate([flat, others]), starts, lens), lens
 
         return PieceEncoder(encode_pieces) if byte_level else _WholeEncoder(encode_many)
 

@@ -162,6 +162,33 @@ def test_pieces_add_up_to_whole_texts(tokenizer):
             assert [x.tolist() for x in np.split(ids, np.cumsum(counts))[:-1]] == [tokenizer(t) for t in some]
 
 
+def test_known_pieces_are_looked_up_by_arrow(tokenizer):
+    import numpy as np
+    import pyarrow as pa
+
+    from graphloom.llm.tokens import ODD_SPACE, PieceEncoder, json_encoder
+
+    asked = []
+
+    def ask(pieces):
+        asked.extend(pieces)
+        ids = [tokenizer(p) for p in pieces]
+        return np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64)
+
+    texts = ["one two\0three  four", "one two", " two", "x " * 90, "two ", *(f"a {c} b" for c in ODD_SPACE), "a\n \nb", "y" * 70]
+    encoder = PieceEncoder(ask, 5)
+    for _ in range(3):  # forgets what the last call did not hold
+        ids, counts = encoder.encode(texts)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts))[:-1]] == [tokenizer(t) for t in texts]
+    asked.clear()
+    encoder.encode(texts[:2])
+    assert not [p for p in asked if len(p) <= 64]
+    assert isinstance(encoder.known, pa.LargeStringArray) and len(encoder.known) == len(encoder.lens)  # no dictionary of Python strings
+    whole = json_encoder(Path(public_tokenizers.path("byte_bpe_50k.json")).read_text())
+    ids, counts = whole.encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts))[:-1]] == [tokenizer(t) for t in texts]
+
+
 def test_range_coder_blocks(spark):
     import numpy as np
 
